@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, pii
+from . import decontaminate, langid, line_dedup, mixing, pii, topk
 
 
 def queries() -> dict:
     return {
         "op1_pii": pii.query,
+        "op2_decontaminate": decontaminate.query,
+        "op5_langid": langid.query,
         "op6_mixing": mixing.query,
+        "op7_topk": topk.query,
         "op9_line_dedup": line_dedup.query,
     }
 
@@ -16,6 +19,8 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_pii": pii.SQL,
+        "op2_decontaminate": decontaminate.SQL,
         "op6_mixing": mixing.SQL,
+        "op7_topk": topk.SQL,
         "op9_line_dedup": line_dedup.SQL,
     }
