@@ -58,13 +58,15 @@ def line_dedup(
     )
 
     # count distinct documents for each hash
-    frequent = (
+    # (written, so that both sides of the join below are plain exchanges)
+    frequent = cut(
         lines.select("h1", "h2", "id")
         .distinct()
         .groupBy("h1", "h2")
         .agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
         .filter(F.col("n") >= min_docs)
-        .select("h1", "h2", "last")
+        .select("h1", "h2", "last"),
+        "frequent",
     )
 
     # drop lines over the threshold, reassemble by position
