@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, line_dedup, mixing, pii, topk
+from . import decontaminate, langid, line_dedup, lm_score, mixing, pii, topk
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_langid": langid.query,
         "op6_mixing": mixing.query,
         "op7_topk": topk.query,
+        "op8_lm_score": lm_score.query,
         "op9_line_dedup": line_dedup.query,
     }
 
