@@ -1,0 +1,53 @@
+"""Connected components of a graph given by its edges, without collecting it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for every node of ``edges`` (a, b): its smallest reachable node.
+
+    Large-star and small-star steps in turn: every node links its larger neighbours,
+    then itself and its smaller ones, to the smallest node that it knows, until
+    nothing changes and each component is a star. Each step is a partial aggregation
+    and an equi-join, so a node with very many neighbours is summed before the
+    shuffle and split in the join. Each round is written, which cuts the lineage.
+    """
+    links = cut(
+        edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u"))
+        .filter("v <> u")
+        .distinct(),
+        "links",
+    )
+    while True:
+        # large-star: v's larger neighbours go to the smallest that v knows
+        both = links.select("v", "u").unionByName(links.select(F.col("u").alias("v"), F.col("v").alias("u")))
+        least = both.groupBy("v").agg(F.min("u").alias("m"))
+        least = cut(least.select("v", F.least("v", "m").alias("m")), "least")
+        large = (
+            both.join(least, "v").filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u"))
+        ).distinct()
+        # small-star: v and its smaller neighbours go to the smallest of these
+        large = cut(large, "large")
+        low = cut(large.groupBy("v").agg(F.min("u").alias("m")), "low")
+        near = large.join(low, "v")
+        new = cut(
+            near.filter("u <> m")
+            .select(F.col("u").alias("v"), F.col("m").alias("u"))
+            .unionByName(low.select("v", F.col("m").alias("u")))
+            .distinct(),
+            "links",
+        )
+        changed = new.join(links, ["v", "u"], "left_anti").limit(1).count()
+        changed = changed or new.count() != links.count()
+        links = new
+        if not changed:
+            break
+    roots = links.select(F.col("u").alias("node")).distinct()
+    return links.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(
+        roots.select("node", F.col("node").alias("component"))
+    )

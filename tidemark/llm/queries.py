@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, line_dedup, lm_score, mixing, pii, topk
+from . import decontaminate, langid, line_dedup, lm_score, mixing, near_dedup, pii, topk
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op7_topk": topk.query,
         "op8_lm_score": lm_score.query,
         "op9_line_dedup": line_dedup.query,
+        "op10_near_dedup": near_dedup.query,
     }
 
 
