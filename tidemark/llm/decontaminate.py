@@ -111,13 +111,14 @@ def decontaminate(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = 10,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Words of each document that lie in an occurrence of a benchmark window.
 
     A window is ``window`` consecutive words of an item, or the whole item if it
-    has fewer. Returns ``id_col``, ``text_col``, n_words, hits (merged word spans,
-    end exclusive) and items (ids of the items with occurring windows, as strings,
-    sorted). One row for each row of ``docs``, without a shuffle.
+    has fewer. Returns ``id_col``, ``text_col``, those named in ``carry``, n_words,
+    hits (merged word spans, end exclusive) and items (ids of the items with occurring
+    windows, as strings, sorted). One row for each row of ``docs``, without a shuffle.
 
     The windows are broadcast in blocks of at most BLOCK_BYTES of benchmark text,
     and every document is searched for each block in turn.
@@ -130,6 +131,7 @@ def decontaminate(
     out = docs.select(
         F.col(id_col).alias("id"),
         F.col(text_col).alias("text"),
+        F.struct(F.lit(0).alias("none"), *carry).alias("more"),
         F.lit(0).cast("long").alias("n_words"),
         F.array().cast(_OUT).alias("hits"),
         F.array().cast("array<string>").alias("items"),
@@ -140,7 +142,12 @@ def decontaminate(
         index = spark.sparkContext.broadcast(WordIndex(block, window))
         out = (cut(out, "searched") if k else out).mapInArrow(_searcher(index), schema)
     return out.select(
-        F.col("id").alias(id_col), F.col("text").alias(text_col), "n_words", "hits", "items"
+        F.col("id").alias(id_col),
+        F.col("text").alias(text_col),
+        *[F.col("more")[c].alias(c) for c in carry],
+        "n_words",
+        "hits",
+        "items",
     )
 
 
@@ -167,11 +174,12 @@ def _searcher(index):
                 [
                     b.column("id"),
                     b.column("text"),
+                    b.column("more"),
                     pa.array(n_words, pa.int64()),
                     pa.array(hits, b.schema.field("hits").type),
                     pa.array(items, b.schema.field("items").type),
                 ],
-                names=["id", "text", "n_words", "hits", "items"],
+                names=["id", "text", "more", "n_words", "hits", "items"],
             )
 
     return run

@@ -14,14 +14,15 @@ def line_dedup(
     text_col: str = "text",
     min_chars: int = 40,
     min_docs: int = 5,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Drop lines whose key occurs in at least ``min_docs`` documents.
 
     A line's key is the line without blanks at its ends, A-Z lower-cased; keys
     under ``min_chars`` code points are never dropped. A frequent key keeps its
     lines in the document of the largest id that holds it. Returns the input
-    columns ``id_col`` and ``text_col`` with ``kept_text``, ``n_lines`` and
-    ``n_dropped``.
+    columns ``id_col``, ``text_col`` and those named in ``carry`` with ``kept_text``,
+    ``n_lines`` and ``n_dropped``.
 
     Keys travel as two 64-bit hashes. Counting first makes (key, document) rows
     distinct, then adds them up, so a key that a third of all documents share is
@@ -38,6 +39,7 @@ def line_dedup(
         F.col(id_col).alias("id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         F.col(text_col).alias("raw"),
+        F.struct(F.lit(0).alias("none"), *carry).alias("more"),
     ).withColumn("at", F.xxhash64("text"))
 
     # explode normalised lines, hash
@@ -94,6 +96,7 @@ def line_dedup(
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("kept_text"),
         F.size("parts").cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        *[F.col("more")[c].alias(c) for c in carry],
     )
 
 
