@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, extract, langid, line_dedup, lm_score, mixing, near_dedup, pii, topk
+from . import decontaminate, extract, langid, line_dedup, lm_score, mixing, near_dedup, passages, pii, topk
 
 
 def queries() -> dict:
     return {
         "op1_pii": pii.query,
         "op2_decontaminate": decontaminate.query,
+        "op3_passages": passages.query,
         "op4_extract": extract.query,
         "op5_langid": langid.query,
         "op6_mixing": mixing.query,
