@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import scoring, series
+from . import portfolio, scoring, series
 
-FAMILIES = (scoring, series)
+FAMILIES = (scoring, series, portfolio)
 ALL = {name: pair for family in FAMILIES for name, pair in family.QUERIES.items()}
 
 

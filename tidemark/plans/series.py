@@ -114,7 +114,7 @@ def repaired_series(spark, d):
     later = Window.partitionBy("security_id").orderBy(F.desc("session_date")).rowsBetween(Window.unboundedPreceding, -1)
     splits = F.exp(-F.coalesce(F.sum(F.ln("split_factor")).over(later), F.lit(0.0)))
     out = I.repaired(b.withColumn("close_adjusted", F.round(F.col("close") * splits, 6)))
-    return out.select("security_id", "session_date", "inconsistent", F.round("close_repaired", 4).alias("close_repaired"))
+    return out.select("security_id", "session_date", "inconsistent", F.round("close_repaired", 6).alias("close_repaired"))
 
 
 def forward_anomalies(spark, d):
@@ -302,7 +302,7 @@ f AS (SELECT *, CASE WHEN prev IS NULL THEN 1.0 WHEN prev > dividend THEN (1 / s
 g AS (SELECT *, close * exp(coalesce(sum(ln(event)) OVER w, 0)) AS expected, round(close * exp(-coalesce(sum(ln(split_factor)) OVER w, 0)), 6) AS adj FROM f
   WINDOW w AS (PARTITION BY security_id ORDER BY session_date DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT security_id, session_date, abs((adj - expected) / expected) > 0.002 AS inconsistent,
-  round(CASE WHEN abs((adj - expected) / expected) > 0.002 THEN round(expected, 6) ELSE adj END, 4) AS close_repaired FROM g"""),
+  CASE WHEN abs((adj - expected) / expected) > 0.002 THEN round(expected, 6) ELSE adj END AS close_repaired FROM g"""),
     "forward_anomalies": (forward_anomalies, f"""WITH {fr.BARS}, s AS (SELECT *, abs(close / lag(close) OVER w - 1) AS step, lead(close, 3) OVER w / close - 1 AS fwd,
   row_number() OVER w AS n FROM bars WINDOW w AS (PARTITION BY security_id ORDER BY session_date))
 SELECT a.security_id, a.session_date, round(a.fwd, 8) AS fwd, first(b.session_date ORDER BY b.step DESC, b.session_date) AS culprit
