@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import portfolio, scoring, series
+from . import groups, portfolio, scoring, series, texts
 
-FAMILIES = (scoring, series, portfolio)
+FAMILIES = (scoring, series, portfolio, texts, groups)
 ALL = {name: pair for family in FAMILIES for name, pair in family.QUERIES.items()}
 
 
