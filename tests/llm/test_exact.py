@@ -1,0 +1,224 @@
+"""Operators whose results are fixed, against plain Python."""
+
+import hashlib
+import random
+import re
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontaminate, line_dedup, mixing, pii, queries, topk
+
+from ..oracle import SF, compare
+from .cases import documents, nothing, prose
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+@pytest.mark.parametrize("name", list(queries.oracle_sql()))
+def test_matches_oracle(spark, name):
+    compare(spark, queries.queries()[name], queries.oracle_sql()[name])
+
+
+# personal data
+
+
+def luhn(digits):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def base_spans(text):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    rules = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 14 <= len(digits(s)) <= 19 and luhn(digits(s))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 10 <= len(digits(s)) <= 15),
+    ]
+    found = [(m.start(), k, kind, m.end()) for k, (kind, p, ok) in enumerate(rules) for m in re.finditer(p, text or "") if ok(m[0])]
+    return [(kind, s, e) for s, _, kind, e in sorted(found)]
+
+
+CARD = "4532015112830366"
+TEXTS = [
+    None, "", "no data", "a@b.co", "😀 x a@b.c_d@e.fr!", "..a%@b-c.d.e@f.g", "@a.b a@ a@b a@.b", "é@b.de é.x@b.de", "1.2.3.4.5.6.7.8", "256.1.1.1 0000255.1.1.01 1.2.3",
+    f"{CARD}", f"4532 0151-1283 0366 and {CARD} 1", f"{CARD}  {CARD}", f"1{CARD}", f"{CARD[:-1]}7", "12345678901234567890", "0 0 0 0 0 0 0 0 0 0 0 0 0 0",
+    "+1 (017) 555-7713", "+1 2", "+49 (0) 30 123456 78 90 12 34", "+1234567890+1234567890", "+1 234 567 8901 .", "+1(((((((", "١٢٣.١.١.١",
+    "IBAN DE89370400440532013000 and DE88370400440532013000", "DE89 3704 0044 0532 0130 00", "ssn 123-45-6789, 123-45-6789 ... " + "x" * 60 + " 123-45-6789", "000-12-3456 ssn",
+    "a" * 30000, "a@b.c " * 500, "1 " * 20000, "9" * 20000, "1.1.1.1." * 300,
+]
+
+
+def test_pii_against_plain_expressions(spark):
+    r = random.Random(2)
+    alphabet = ["a", "B", "1", "23", "4532015112830366", " ", "-", ".", "@", "+", "(", ")", "_", "é", "\n", "x.y@z.de", "1.2.3.4", "+1 (017) 555-7713"]
+    texts = TEXTS + ["".join(r.choices(alphabet, k=r.randint(1, 25))) for _ in range(1500)]
+    got = {x.doc_id: x.spans for x in pii.find_pii(documents(spark, list(enumerate(texts)))).collect()}
+    for i, text in enumerate(texts):
+        base = [(s.kind, s.start, s.end) for s in got[i] if s.kind in pii.BASE_KINDS]
+        assert base == base_spans(text), text
+
+
+def test_pii_adds_confirmed_kinds_only(spark):
+    texts = ["IBAN DE89370400440532013000 and DE88370400440532013000", "ssn 123-45-6789", "part 123-45-6789 " + "x" * 80, "ssn 000-12-3456", "GB82 WEST 1234 5698 7654 32"]
+    got = {x.doc_id: [(s.kind, s.start, s.end) for s in x.spans if s.kind not in pii.BASE_KINDS] for x in pii.find_pii(documents(spark, list(enumerate(texts)))).collect()}
+    assert got == {0: [("iban", 5, 27)], 1: [("ssn", 4, 15)], 2: [], 3: [], 4: [("iban", 0, 27)]}
+
+
+def test_context_raises_scores(spark):
+    rows = [(1, "call +1 (017) 555-7713"), (2, "zzz +1 (017) 555-7713")]
+    got = {x.doc_id: x.spans[0].score for x in pii.find_pii(documents(spark, rows)).collect()}
+    assert got[1] == 1.0 and got[2] == pii.SCORES["phone"]
+
+
+# benchmark windows
+
+
+def words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+
+
+def brute_hits(text, items, window=10):
+    w, hit, found = words(text), set(), set()
+    for item, body in items:
+        b = words(body)
+        m = min(window, len(b))
+        for i in range(len(b) - m + 1 if m else 0):
+            for j in range(len(w) - m + 1):
+                if w[j : j + m] == b[i : i + m]:
+                    hit.update(range(j, j + m))
+                    found.add(str(item))
+    return len(w), hit, sorted(found)
+
+
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 60])
+def test_decontamination(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    r = random.Random(4)
+    tiny = lambda n: " ".join(r.choice("abc") for _ in range(n))
+    items = [(1, prose(r, 30)), (2, prose(r, 10)), (3, "A b-A"), (4, "...") , (5, None), (6, tiny(12)), (6, tiny(12)), (7, "Éa é1"), (11, prose(r, 4))]
+    texts = [None, "", "...", "a B a", "x éa é1 Éa É1 éa é1", items[0][1].upper() + "!", "pre " + " ".join(items[0][1].split()[5:20]), items[8][1] + " " + items[1][1] + " " + items[8][1]]
+    texts += [tiny(r.randint(1, 60)) for _ in range(40)] + [" ".join([prose(r, 5), *items[0][1].split()[k : k + r.randint(8, 14)], prose(r, 3)]) for k in range(15)]
+    bench = spark.createDataFrame([*items, (None, items[1][1])], "item_id long, text string")
+    got = {x.doc_id: x for x in decontaminate.decontaminate(documents(spark, list(enumerate(texts))), bench).collect()}
+    for i, text in enumerate(texts):
+        n, hit, found = brute_hits(text, items)
+        x = got[i]
+        assert (x.n_words, {p for h in x.hits for p in range(h.start, h.end)}, x.items) == (n, hit, found), text
+
+
+def test_decontamination_of_nothing(spark):
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.decontaminate(nothing(spark), bench).count() == 0
+    assert decontaminate.decontaminate(documents(spark, [(1, "a b")]), bench).first().hits == []
+
+
+# lines
+
+
+def brute_lines(rows, min_chars=40, min_docs=5):
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(LOWER)
+    docs = defaultdict(set)
+    for i, text in rows:
+        for line in (text or "").split("\n"):
+            docs[key(line)].add(i)
+    out = []
+    for i, text in rows:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if len(key(x)) < min_chars or len(docs[key(x)]) < min_docs or i == max(j for j in docs[key(x)])]
+        out.append((i, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    return sorted(out)
+
+
+def test_lines(spark):
+    r = random.Random(6)
+    common = ["L" + "x" * 38, "L" + "x" * 39, "É" + "ab " * 20, "é" + "ab " * 20, "Q" * 41]
+    rows = [(i, "\n".join(r.choices([*common, "  " + common[1].lower() + "\t", "short", "", prose(r, 9)], k=r.randint(0, 8)))) for i in range(60)]
+    rows += [(100, None), (101, ""), (102, "\n"), (103, "\n".join([common[4]] * 3000)), (104, common[4] + "\r\n\x0b"), (104, common[4] + "\r\n\x0b"), (-5, common[4])]
+    df = line_dedup.line_dedup(documents(spark, rows))
+    got = sorted(df.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256)).toPandas().itertuples(index=False, name=None))
+    assert got == brute_lines(rows)
+
+
+def test_lines_of_rows_without_an_id(spark):
+    line = "z" * 50
+    rows = [(None, line), (None, line), *[(i, line) for i in range(4)]]
+    got = line_dedup.line_dedup(documents(spark, rows)).collect()
+    assert sorted((x.doc_id is None, x.n_dropped) for x in got) == [(False, 0), (False, 1), (False, 1), (False, 1), (True, 1), (True, 1)]
+    assert line_dedup.line_dedup(nothing(spark)).count() == 0
+
+
+# mixing
+
+
+def brute_targets(sizes, weights=(5, 2, 1), most=3):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[k % 3] for k, s in enumerate(order)}
+    out, free, left = {}, set(order), float(sum(sizes.values()))
+    while free:
+        share = {s: left * w[s] / sum(w[t] for t in free) for s in free}
+        over = [s for s in free if share[s] > most * sizes[s]]
+        if not over:
+            return out | share
+        for s in over:
+            out[s] = float(most * sizes[s])
+            left -= out[s]
+            free.discard(s)
+    return out
+
+
+def test_mixing(spark):
+    r = random.Random(8)
+    rows = [(i, prose(r, r.randint(0, 40)) if i % 11 else None, "en", r.choice(["a"] * 12 + ["b", "c", "é", "z", "Z", None])) for i in range(800)]
+    rows += [(5000, prose(r, 3), "en", "tiny"), (5001, "  ", "en", "empty"), (None, "w w", "en", "b"), (7, "again again", "en", "a")]
+    got = mixing.mix(documents(spark, rows)).collect()
+    sizes = defaultdict(int)
+    for _, text, _, source in rows:
+        sizes[source] += len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+    want = brute_targets(sizes)
+    taken = defaultdict(int)
+    for x in got:
+        assert x.target == pytest.approx(want[x.source], rel=1e-12)
+        assert x.source_size == sizes[x.source] and 0 <= x.taken <= 3 * x.size
+        taken[x.source] += x.taken
+    assert len(got) == len(rows)
+    for s, t in want.items():
+        assert abs(taken[s] - t) <= 40
+    again = mixing.mix(documents(spark, rows[::-1])).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+    assert mixing.mix(nothing(spark)).count() == 0
+
+
+# search
+
+
+def test_top_k(spark):
+    r = random.Random(9)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(6)]) for i in range(400)]
+    rows += [(i, [0.5, 0.25, 0.0, 0.0, 0.0, 0.0]) for i in range(1000, 1300)]  # equal vectors
+    rows += [(2000, None), (2100, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2200, [float("nan")] * 6), (2300, [float("inf")] + [0.0] * 5), (2400, []), (2500, [1.0, 2.0]), (2501, [3.0, -1.0]), (None, [1.0] * 6)]
+    v = spark.createDataFrame([(*x, "extra") for x in rows], "vec_id long, embedding array<double>, id string").repartition(7)
+    got = defaultdict(list)
+    for x in topk.top_k(v, v.filter("vec_id % 100 = 0")).orderBy("query_id", "rank").collect():
+        got[x.query_id].append((x.vec_id, x.score))
+    whole = {i: [int(c * 1024 // 1) for c in e] for i, e in rows if i is not None and e and all(c is not None and c == c and abs(c) < 1e9 for c in e)}
+    for q in [i for i in whole if i % 100 == 0]:
+        s = [(-sum(a * b for a, b in zip(whole[q], e, strict=True)), i) for i, e in whole.items() if i != q and len(e) == len(whole[q])]
+        assert got.pop(q, []) == [(i, -x) for x, i in sorted(s)[:10]]
+    assert not got
+
+
+def test_top_k_of_large_numbers_and_of_nothing(spark):
+    rows = [(i * 100, [float(i) * 1e7, -3.0e8 + i]) for i in range(5)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(v, v).filter("query_id = 0").orderBy("rank").collect()
+    exact = {i: sum(int(a * 1024 // 1) * int(b * 1024 // 1) for a, b in zip(rows[0][1], e, strict=True)) for i, e in rows if i}
+    top = 2**63 - 1
+    assert [(x.vec_id, x.score) for x in got] == sorted(((i, min(s, top)) for i, s in exact.items()), key=lambda t: (-t[1], t[0]))
+    assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
+
+
+def test_registered_names():
+    assert [re.match(r"op(\d+)_", n)[1] for n in queries.queries()] == [str(k) for k in range(1, 11)]
+    assert SF

@@ -121,7 +121,7 @@ def _table(profiles: dict[str, list[int]]) -> tuple[list[str], np.ndarray]:
     for k in range(len(langs)):
         for a in range(LETTERS):
             out[a, :, :, k] = (two * (three[a] * p[k])) @ one.T
-    return langs, out.reshape(-1, len(langs))
+    return langs, out.reshape(LETTERS**3, len(langs))
 
 
 _tables: dict[int, tuple] = {}
