@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import groups, portfolio, scoring, series, texts
+from . import feeds, groups, portfolio, scoring, series, texts
 
-FAMILIES = (scoring, series, portfolio, texts, groups)
+FAMILIES = (scoring, series, portfolio, texts, groups, feeds)
 ALL = {name: pair for family in FAMILIES for name, pair in family.QUERIES.items()}
 
 
