@@ -101,7 +101,9 @@ def test_near_copies_without_rows_and_with_repeats(spark):
     assert sorted((x.doc_id, x.component_id) for x in got) == [(5, 5), (5, 5), (5, 5), (7, 7), (9, 5)]
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("chunk", [100_000, 17])
+def test_components_of_chains_and_stars(spark, monkeypatch, chunk):
+    monkeypatch.setattr("tidemark.llm.components.CHUNK", chunk)
     edges = [(i, i + 1) for i in range(100, 140)] + [(500, k) for k in range(600, 640)] + [(640, 639), (1, 1)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(100, 141)} | {i: 500 for i in [500, *range(600, 641)]}
