@@ -25,6 +25,8 @@ SEED = 7
 SLACK = 3.5
 #: Best partners of a document that are tried in the first round.
 BEST = 4
+#: Hashes of the long sketches that the second round compares.
+LONG = 512
 #: Bytes of text whose shingles are hashed at once.
 CHUNK = 4_000_000
 
@@ -159,10 +161,10 @@ def _agree(sketch: np.ndarray, row: int) -> np.ndarray:
     return (sketch == sketch[row]).sum(1)
 
 
-def _least_agreement(similarity: float) -> int:
-    """Equal hashes of HASHES that a pair of this similarity has, but for rare bad luck."""
-    dev = (similarity * (1 - similarity) / HASHES) ** 0.5
-    return int(np.floor(HASHES * (similarity - SLACK * dev)))
+def _least_agreement(similarity: float, hashes: int = HASHES) -> int:
+    """Equal hashes that a pair of this similarity has, but for rare bad luck."""
+    dev = (similarity * (1 - similarity) / hashes) ** 0.5
+    return int(np.floor(hashes * (similarity - SLACK * dev)))
 
 
 def _first(similarity: float):
@@ -205,15 +207,15 @@ def _first(similarity: float):
             p = np.array(sorted(pairs))
             yield _out(ids[p[:, 0]], ids[p[:, 1]])
             at = np.flatnonzero(linked)
-            yield _out(ids[at], None, r.column("region")[0].as_py(), n[at], sketch[at])
+            yield _out(ids[at], None, r.column("region")[0].as_py(), n[at])
 
     return run
 
 
-_FIRST = "a long, b long, region long, n long, sketch binary"
+_FIRST = "a long, b long, region long, n long"
 
 
-def _out(a, b, region=None, n=None, sketch=None):
+def _out(a, b, region=None, n=None):
     m = len(a)
     return pa.RecordBatch.from_arrays(
         [
@@ -221,31 +223,36 @@ def _out(a, b, region=None, n=None, sketch=None):
             pa.nulls(m, pa.int64()) if b is None else pa.array(b, pa.int64()),
             pa.array([region] * m, pa.int64()),
             pa.nulls(m, pa.int64()) if n is None else pa.array(n, pa.int64()),
-            pa.nulls(m, pa.binary()) if sketch is None else pa.array([s.tobytes() for s in sketch], pa.binary()),
         ],
-        names=["a", "b", "region", "n", "sketch"],
+        names=["a", "b", "region", "n"],
     )
 
 
-def _second(similarity: float):
-    """All likely pairs of a region whose documents are not yet in one component."""
-    floor = _least_agreement(similarity)
+def _second(percent: int):
+    """All likely pairs of a region whose documents are not yet in one component.
+
+    shared: how many of a document's shingles any other one has. Two documents have
+    no more in common than the smaller of these, which bounds their similarity.
+    """
+    floor = _least_agreement(percent / 100, LONG)
 
     def run(batches):
         for r in _runs(batches):
             comp = r.column("comp").to_numpy()
             if (comp == comp[0]).all():
                 continue
-            ids, n = r.column("id").to_numpy(), r.column("n").to_numpy()
-            sketch = np.frombuffer(b"".join(r.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(ids), HASHES)
+            ids, n, shared = (r.column(c).to_numpy() for c in ("id", "n", "shared"))
+            sketch = np.frombuffer(b"".join(r.column("long").to_pylist()), dtype=np.uint8).reshape(len(ids), LONG)
             sizes = dict(zip(*np.unique(comp, return_counts=True), strict=True))
             large = max(sizes, key=sizes.get)
             for i in np.flatnonzero(comp != large):  # pairs within the largest are linked
-                fit = (comp != comp[i]) & (_agree(sketch, i) >= floor)
-                fit &= np.minimum(n, n[i]) >= similarity * np.maximum(n, n[i]) - 1e-9
-                fit &= (comp == large) | (np.arange(len(ids)) > i)
-                if fit.any():
-                    p = ids[fit]
+                most = np.minimum(shared, shared[i])
+                fit = 100 * most >= percent * (n + n[i] - most)
+                fit &= (comp != comp[i]) & ((comp == large) | (np.arange(len(ids)) > i))
+                at = np.flatnonzero(fit)
+                at = at[(sketch[at] == sketch[i]).sum(1) >= floor]
+                if len(at):
+                    p = ids[at]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.minimum(p, ids[i])), pa.array(np.maximum(p, ids[i]))], names=["a", "b"]
                     )
@@ -253,6 +260,25 @@ def _second(similarity: float):
     return run
 
 
+def _long_sketches(sets: list[np.ndarray]) -> list[bytes | None]:
+    """Eight bits of LONG minimum hashes of each set."""
+    rng = np.random.default_rng(SEED + 1)
+    mul = rng.integers(0, 2**63, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    full = [k for k, s in enumerate(sets) if len(s)]
+    out: list[bytes | None] = [None] * len(sets)
+    if full:
+        s = np.concatenate([sets[k] for k in full])
+        starts = np.concatenate([[0], np.cumsum([len(sets[k]) for k in full])[:-1]])
+        least = np.empty((len(full), LONG), dtype=np.uint8)
+        with np.errstate(over="ignore"):
+            for j in range(LONG):
+                h = ((s * mul[j]) >> np.uint64(32)).astype(np.uint32)
+                least[:, j] = (np.minimum.reduceat(h, starts) & np.uint32(255)).astype(np.uint8)
+        for k, row in zip(full, least, strict=True):
+            out[k] = row.tobytes()
+    return out
+
+
 def _sets(size: int, wanted):
     def run(batches):
         ids = wanted.value
@@ -260,9 +286,13 @@ def _sets(size: int, wanted):
             if ids is not None:
                 own = b.column("id").to_numpy()
                 b = b.filter(pa.array(np.isin(own, ids)))
-            sets = [s.astype(np.int64) for _, part in _chunks(b, size) for s in part]
+            sets, sketches = [], []
+            for _, part in _chunks(b, size):
+                sets.extend(s.astype(np.int64) for s in part)
+                sketches.extend(_long_sketches(part))
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"]
+                [b.column("id"), pa.array(sets, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                names=["id", "shingles", "long"],
             )
 
     return run
@@ -289,7 +319,7 @@ def _pick_sets(t: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     few = ids.count() <= PICKED
     wanted = np.sort(ids.toArrow()["id"].to_numpy()) if few else None
     rows = t if few else t.join(ids, "id", "left_semi")
-    picked = rows.mapInArrow(_sets(size, spark.sparkContext.broadcast(wanted)), "id long, shingles array<long>")
+    picked = rows.mapInArrow(_sets(size, spark.sparkContext.broadcast(wanted)), "id long, shingles array<long>, long binary")
     return cut(picked, "sets")
 
 
@@ -316,9 +346,11 @@ def near_duplicates(
     3. First round: each region proposes the maximum spanning forest of its
        estimated similarities and each document's BEST partners.
     4. Full sets confirm or refuse each pair; components are taken.
-    5. Second round: for regions that are not in one component, every likely pair
-       across components that was not tried yet is confirmed as well. So pairs that
-       are left out are those within a component, which change nothing.
+    5. Second round: for regions that are not in one component, every pair across
+       components that can be similar and was not tried yet is confirmed as well.
+       Whether it can be is told by the shingles that no other of these documents
+       has (exactly) and by a longer sketch. So pairs that are left out are those
+       within a component, which change nothing, and those that can't be linked.
 
     Returns one row for each row: ``id_col``, n_shingles, component_id and kept
     (``id_col`` = component_id). Null or blank texts have an empty set and are linked
@@ -348,22 +380,28 @@ def near_duplicates(
     links = cut(_confirm(pairs, sets, percent), "confirmed")
     first = cut(components(links), "components")
 
-    members = found.filter("b IS NULL").select(F.col("a").alias("id"), "region", "n", "sketch")
+    members = found.filter("b IS NULL").select(F.col("a").alias("id"), "region", "n")
     members = members.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "comp", F.coalesce("component", "id")
     )
-    crowded = members.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    members = members.join(crowded.filter("lo <> hi").select("region"), "region")
+    members = cut(_split(members).select("region", "id", "n", "comp"), "members")
+    # shingles that no other of these documents has can't be common to a pair of them
+    own_sets = sets.join(members.select("id").distinct(), "id")
+    alone = own_sets.select("id", F.explode("shingles").alias("s")).groupBy("s")
+    alone = alone.agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("id")).filter("k = 1")
+    alone = alone.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    facts = cut(own_sets.select("id", "long").join(alone, "id", "left"), "facts")
+    members = members.join(facts, "id").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0)))
+    members = _split(members.filter(100 * F.col("shared") >= percent * F.col("n")))
     more = (
-        members.select("region", "id", "n", "sketch", "comp")
+        members.select("region", "id", "n", "shared", "comp", "long")
         .repartition("region")
         .sortWithinPartitions("region")
-        .mapInArrow(_second(similarity), "a long, b long")
+        .mapInArrow(_second(percent), "a long, b long")
         .distinct()
     )
     more = cut(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
     if more.limit(1).count():
-        sets = _pick_sets(t.filter("id IS NOT NULL"), more, words)
         links = cut(links.unionByName(_confirm(more, sets, percent)), "confirmed")
     # rows of one id may have several sets: they are one document
     own = some.select("id", "x", "y", "n").distinct()
@@ -384,6 +422,12 @@ def near_duplicates(
     )
 
 
+def _split(members: DataFrame) -> DataFrame:
+    """The members of regions that are in more than one component."""
+    crowded = members.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    return members.join(crowded.filter("lo <> hi").select("region"), "region")
+
+
 def _adapted(forest: DataFrame) -> DataFrame:
     """The forest with each row's region: the shallowest key that is not too crowded.
 
