@@ -100,6 +100,13 @@ def test_corrections_hide_their_targets(spark):
     assert {r.id for r in ledger.effective(df).collect()} == {"c", "d"}
 
 
+def test_values_are_inherited_along_chains(spark):
+    rows = [("a", None, 1.0), ("b", "a", None), ("c", "b", None), ("d", "c", 2.0), ("e", "d", None), ("x", "y", None), ("y", "x", None), ("z", "gone", None)]
+    df = spark.createDataFrame(rows, "id string, corrects string, v double")
+    got = {r.id: r.v for r in ledger.inherited(df, "v").collect()}
+    assert got == {"a": 1.0, "b": 1.0, "c": 1.0, "d": 2.0, "e": 2.0, "x": None, "y": None, "z": None}
+
+
 def test_allocation_keeps_to_its_budgets(spark):
     r = random.Random(1)
     rows = [

@@ -113,7 +113,31 @@ def pending(spark, d):
     return x.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
 
 
+def verified_currencies(spark, d):
+    """The currency of each supplier's figures, proven by consensus, by quarters or by a year."""
+    x = fr.read(spark, d, "lineitem", "l_suppkey", "l_extendedprice", "l_shipdate").filter("l_shipdate < TIMESTAMP '2001-01-01'")
+    end = lambda unit, months: F.date_sub(F.add_months(F.trunc("l_shipdate", unit), months), 1)
+    code = F.when(F.col("l_suppkey") % 3 == 0, "USD").otherwise("EUR")
+    report = lambda c: F.struct(F.col("end"), code.alias("currency"), F.col(c).alias("amount"))
+    q = x.groupBy("l_suppkey", end("quarter", 3).alias("end")).agg(F.round(F.sum("l_extendedprice"), 2).alias("v"))
+    q = q.groupBy("l_suppkey").agg(F.collect_list(report("v")).alias("quarters"))
+    y = x.groupBy("l_suppkey", end("year", 12).alias("end")).agg(F.round(F.sum("l_extendedprice"), 2).alias("v"))
+    y = y.groupBy("l_suppkey").agg(F.collect_list(report("v")).alias("years"), F.max_by("v", "end").alias("total"))
+    today = F.lit("2001-01-15").cast("date")
+    z = q.join(y, "l_suppkey").withColumn("total", F.col("total") * F.when(F.col("l_suppkey") % 5 == 0, 1.5).otherwise(1.0))
+    z = z.withColumn("quarters", D.report_dates(F.col("quarters"), today)).withColumn("years", D.report_dates(F.col("years"), today))
+    got = D.verified_currency(F.col("quarters"), F.col("years"), F.col("total"), F.lit("USD"), today)
+    return z.select("l_suppkey", F.size("quarters").cast("long").alias("quarters"), got.alias("currency"))
+
+
 QUERIES = {
+    "verified_currencies": (verified_currencies, """WITH q AS (SELECT l_suppkey, CAST(date_trunc('quarter', l_shipdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS e, round(sum(l_extendedprice), 2) AS v FROM lineitem WHERE l_shipdate < TIMESTAMP '2001-01-01' GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER w AS r, lag(e) OVER w - e AS gap FROM q WINDOW w AS (PARTITION BY l_suppkey ORDER BY e DESC)),
+y AS (SELECT l_suppkey, year(l_shipdate) AS y, round(sum(l_extendedprice), 2) AS v FROM lineitem WHERE l_shipdate < TIMESTAMP '2001-01-01' GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY y DESC) = 1),
+t AS (SELECT l_suppkey, v AS year_v, v * CASE WHEN l_suppkey % 5 = 0 THEN 1.5 ELSE 1.0 END AS total FROM y),
+g AS (SELECT l_suppkey, count(*) AS n, sum(v) FILTER (r <= 4) AS s, count(*) FILTER (r <= 4) AS c, bool_and(r > 4 OR r = 1 OR gap BETWEEN 80 AND 100) AS even, bool_or(DATE '2001-01-15' - e <= 366) AS recent FROM k GROUP BY 1)
+SELECT l_suppkey, n AS quarters, CASE WHEN l_suppkey % 3 = 0 AND recent THEN 'USD' WHEN c = 4 AND even AND abs(s - total) <= 1e-4 * total OR abs(year_v - total) <= 1e-4 * total THEN CASE WHEN l_suppkey % 3 = 0 THEN 'USD' ELSE 'EUR' END END AS currency
+FROM g JOIN t USING (l_suppkey)"""),
     "decoded_series": (decoded_series, f"WITH {fr.BARS} SELECT security_id, session_date, volume % 50 <> 0 AS has_adjusted, CASE WHEN volume % 50 <> 0 THEN 0.5 END AS factor FROM bars WHERE close < 1e6"),
     "rate_rows": (rate_rows, "SELECT pair, CAST(day AS DATE) AS day, rate FROM (SELECT CAST(ts AS DATE) AS day, upper(rpad(substr(event_type, 1, 6), 6, 'X')) AS pair, round(max(value), 2) AS rate FROM events GROUP BY 1, 2) WHERE rate > 0"),
     "filing_rows": (filing_rows, "SELECT o_custkey, CAST(o_orderkey AS VARCHAR) AS accession, o_orderpriority AS form, CAST(o_orderdate AS DATE) AS filed FROM orders WHERE o_orderdate >= DATE '1998-01-01'"),

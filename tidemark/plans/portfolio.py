@@ -229,6 +229,12 @@ def effective_transactions(spark, d):
     return _effective(spark, d).select("id", "owner", "ticker", "side", "day", "quantity")
 
 
+def inherited_costs(spark, d):
+    """Fees of events in force; a correction without any has those of the nearest event that it goes back to."""
+    e = _ledger(spark, d).withColumn("fees", F.when(F.substring_index("id", ":", -1).cast("int") % 3 == 1, F.col("fees")))
+    return L.effective(L.inherited(e, "fees")).select("id", "fees")
+
+
 def holdings(spark, d):
     """Open lots by owner and ticker, first in first out."""
     return L.open_lots(_effective(spark, d), ["owner", "ticker"], _ORDER).select("id", "owner", "ticker", "day", F.round("rest", 4).alias("rest"))
@@ -287,6 +293,8 @@ SELECT security_id, count(z) AS available, round(CASE WHEN count(z) >= 3 THEN su
     "decision_signatures": (decision_signatures, f"""WITH a AS ({_decide_sql()}), b AS (WITH {_CTX} SELECT *, CASE WHEN floor(notional) < 10 THEN floor(notional) ELSE floor(floor(notional) / pow(10.0, floor(log10(floor(notional))) - 1) + 0.5) * pow(10.0, floor(log10(floor(notional))) - 1) END AS band FROM x)
 SELECT security_id, 'v1:' || sha256(action || chr(10) || security_id || chr(10) || CAST(band AS BIGINT) || chr(10) || direction || chr(10) || confidence || chr(10) || trace) AS signature FROM a JOIN b USING (security_id)"""),
     "effective_transactions": (effective_transactions, f"WITH {_LED} SELECT id, owner, ticker, side, day, quantity FROM eff"),
+    "inherited_costs": (inherited_costs, f"""WITH {_LED}, f AS (SELECT id, version, newest, last_value(CASE WHEN version % 3 = 1 THEN fees END IGNORE NULLS) OVER (PARTITION BY split_part(id, ':', 1), split_part(id, ':', 2) ORDER BY version) AS fees FROM led)
+SELECT id, fees FROM f WHERE version = newest"""),
     "fifo_holdings": (holdings, f"WITH {_LOTS} SELECT id, owner, ticker, day, round(rest, 4) AS rest FROM lots"),
     "cash_by_currency": (cash_by_currency, f"""WITH {_LED} SELECT owner, currency, CAST(round(sum(CAST(CASE WHEN side = 'SELL' THEN amount ELSE -amount END - fees AS DECIMAL(28, 6))), 2) AS DOUBLE) AS cash FROM eff GROUP BY 1, 2"""),
     "portfolio_projection": (portfolio_projection, f"""WITH {_LOTS}, lp AS (SELECT ticker, last(price ORDER BY day, id) AS last_price FROM eff GROUP BY 1),

@@ -119,3 +119,35 @@ def model_json(c: Column, schema: str) -> Column:
 def sane_claims(claims: Column, allowed: tuple[str, ...], source: Column) -> Column:
     """Claims whose theme is known and whose excerpt the source holds."""
     return F.filter(claims, lambda c: c["theme"].isin(*allowed) & F.contains(source, c["excerpt"]) & (c["excerpt"] != ""))
+
+
+def report_dates(reports: Column, today: Column) -> Column:
+    """Reports newest first; null if an end is missing, in the future or there twice."""
+    ends = F.transform(reports, lambda r: r["end"])
+    sound = F.forall(ends, lambda e: e.isNotNull() & (e <= today)) & (F.size(F.array_distinct(ends)) == F.size(ends))
+    return F.when(sound, F.reverse(F.array_sort(reports)))
+
+
+def currency_consensus(reports: Column, quote: Column, today: Column, days: int = 366) -> Column:
+    """The quoted currency, if every report of the last year is in it."""
+    recent = F.filter(reports, lambda r: F.datediff(today, r["end"]) <= days)
+    return F.when((F.size(recent) > 0) & F.forall(recent, lambda r: r["currency"] == quote), quote)
+
+
+def totals_proven(reports: Column, total: Column, periods: int, lo: int, hi: int, tolerance: float = 1e-4) -> Column:
+    """Whether the last ``periods`` amounts, ``lo`` to ``hi`` days apart, add up to the total."""
+    last = F.slice(reports, 1, periods)
+    gaps = F.zip_with(F.slice(last, 1, periods - 1), F.slice(last, 2, periods - 1), lambda a, b: F.datediff(a["end"], b["end"])) if periods > 1 else F.array().cast("array<int>")
+    s = F.aggregate(last, F.lit(0.0), lambda a, r: a + r["amount"])
+    even = F.forall(gaps, lambda g: g.between(lo, hi))
+    return (F.size(last) == periods) & even & (F.abs(s - total) <= tolerance * F.abs(total))
+
+
+def verified_currency(quarters: Column, years: Column, total: Column, quote: Column, today: Column) -> Column:
+    """Consensus, else the currency in which quarters, else a year, prove the total; null if both fail."""
+    one = lambda rs, n: F.when(F.size(F.array_distinct(F.transform(F.slice(rs, 1, n), lambda r: r["currency"]))) == 1, rs[0]["currency"])
+    return F.coalesce(
+        currency_consensus(quarters, quote, today),
+        F.when(totals_proven(quarters, total, 4, 80, 100), one(quarters, 4)),
+        F.when(totals_proven(years, total, 1, 0, 0), one(years, 1)),
+    )
