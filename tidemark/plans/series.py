@@ -309,7 +309,7 @@ SELECT a.security_id, a.session_date, round(a.fwd, 8) AS fwd, first(b.session_da
 FROM s a JOIN s b ON a.security_id = b.security_id AND b.n BETWEEN a.n + 1 AND a.n + 3 WHERE abs(a.fwd) > 0.45 GROUP BY ALL"""),
     "dedupe_bars": (dedupe, """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem
 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) = 1"""),
-    "rank_ic": (rank_ic, f"WITH {_LONG} SELECT horizon, session_date, population, round(ic, 8) AS ic FROM ic"),
+    "rank_ic": (rank_ic, f"WITH {_LONG} SELECT horizon, session_date, population, round(ic, 8) + 0.0 AS ic FROM ic"),
     "ic_distribution": (ic_distribution, f"""WITH {_LONG}, g AS (SELECT horizon, count(ic) AS n, avg(ic) AS mean, stddev_samp(ic) AS std, min(ic) AS low, max(ic) AS high,
   quantile_cont(ic, 0.1) AS q10, quantile_cont(ic, 0.25) AS q25, median(ic) AS median, quantile_cont(ic, 0.75) AS q75, quantile_cont(ic, 0.9) AS q90,
   avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END) AS positive FROM ic WHERE ic IS NOT NULL GROUP BY 1),
@@ -343,7 +343,7 @@ k AS (SELECT min(session_no) AS session_no FROM c UNION ALL SELECT (SELECT min(s
 SELECT session_date, session_no FROM c JOIN k USING (session_no)"""),
     "coverage_bias": (coverage_bias, f"""WITH {_LONG}, o AS (SELECT * FROM ok WHERE horizon = 1), h AS (SELECT *, volume >= median(volume) OVER (PARTITION BY session_date) AS hi FROM o),
 {_spear_sql('a', 'volume', 'score', 'o', 'session_date')}, {_spear_sql('b', 'volume', 'fwd', 'o', 'session_date')}, {_spear_sql('c', 'score', 'fwd', 'h', 'session_date, hi')}
-SELECT a.session_date, a.n AS population, round(a.v, 8) AS coverage_score, round(b.v, 8) AS coverage_return, round(h1.v, 8) AS high_ic, round(h0.v, 8) AS low_ic
+SELECT a.session_date, a.n AS population, round(a.v, 8) + 0.0 AS coverage_score, round(b.v, 8) + 0.0 AS coverage_return, round(h1.v, 8) + 0.0 AS high_ic, round(h0.v, 8) + 0.0 AS low_ic
 FROM a JOIN b USING (session_date) LEFT JOIN c h1 ON h1.session_date = a.session_date AND h1.hi LEFT JOIN c h0 ON h0.session_date = a.session_date AND NOT h0.hi"""),
     "leg_correlations": (leg_correlations, f"""WITH {fr.RAW} SELECT a.leg AS leg_a, b.leg AS leg_b, count(*) AS population, round(corr(a.x, b.x), 6) AS r
 FROM long a JOIN long b ON a.security_id = b.security_id AND a.leg < b.leg AND a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY 1, 2"""),
