@@ -29,27 +29,31 @@ def scopes(members: DataFrame) -> DataFrame:
     )
 
 
-def tier_statistics(rows: DataFrame, value: str, keys: list[str]) -> dict[str, DataFrame]:
-    """Count, mean and population deviation of the non-null values of each tier.
+def tier_statistics(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """Count, mean and population deviation of the non-null values of all three tiers.
 
-    One scan and one shuffle for all three tiers: cohort sums give parent sums, and
-    these the universe's.
+    One scan and one aggregation, by cohort; the wider tiers' sums are windows over the
+    cohorts' sums, one row for each cohort and key. A row for each key and cohort.
     """
     x = F.col(value)
     base = rows.groupBy(*keys, "cohort", "parent").agg(
         F.count(x).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q")
     )
-    out = {}
+    over = {"cohort": [*keys, "cohort"], "parent": [*keys, "parent"], "universe": [*keys, F.lit(0)]}
+    out = base
     for tier in TIERS:
-        by = [*keys] + ([tier] if tier != "universe" else [])
-        g = base.groupBy(*by) if by else base.groupBy()
-        g = g.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
-        mean = F.when(F.col("n") > 0, F.col("s") / F.col("n"))
-        var = F.when(F.col("n") > 0, F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean * mean))
+        w = Window.partitionBy(*over[tier])
+        n, s, q = (F.sum(c).over(w) for c in ("n", "s", "q"))
+        out = out.withColumns({f"_{tier}_n": n, f"_{tier}_s": s, f"_{tier}_q": q})
+    picked = []
+    for tier in TIERS:
+        n, s, q = (F.col(f"_{tier}_{c}") for c in ("n", "s", "q"))
+        mean = F.when(n > 0, s / n)
+        var = F.when(n > 0, F.greatest(F.lit(0.0), q / n - mean * mean))
         # a deviation that is rounding noise of equal values is none
-        std = F.when(var > 1e-13 * mean * mean, F.sqrt(var)).otherwise(F.when(F.col("n") > 0, F.lit(0.0)))
-        out[tier] = g.select(*by, F.col("n").alias(f"{tier}_vn"), mean.alias(f"{tier}_mean"), std.alias(f"{tier}_std"))
-    return out
+        std = F.when(var > 1e-13 * mean * mean, F.sqrt(var)).otherwise(F.when(n > 0, F.lit(0.0)))
+        picked += [n.alias(f"{tier}_vn"), mean.alias(f"{tier}_mean"), std.alias(f"{tier}_std")]
+    return out.select(*keys, "cohort", "parent", *picked)
 
 
 def blended_zscores(rows: DataFrame, value: str = "x", keys: tuple[str, ...] = ("leg",)) -> DataFrame:
@@ -58,10 +62,7 @@ def blended_zscores(rows: DataFrame, value: str = "x", keys: tuple[str, ...] = (
     A tier counts with its shrinkage weight if it has two values and a deviation;
     weights are made to sum to one over the tiers that count. Needs cohort_n, parent_n.
     """
-    out = rows
-    for tier, stats in tier_statistics(rows, value, list(keys)).items():
-        by = [*keys] + ([tier] if tier != "universe" else [])
-        out = out.join(stats, by, "left") if by else out.crossJoin(F.broadcast(stats))
+    out = rows.join(tier_statistics(rows, value, list(keys)), [*keys, "cohort", "parent"], "left")
     top, bottom = F.lit(0.0), F.lit(0.0)
     for tier, w in zip(TIERS, tier_weights(F.col("cohort_n"), F.col("parent_n")), strict=True):
         ok = F.col(value).isNotNull() & (w > 0) & (F.col(f"{tier}_vn") >= 2) & (F.col(f"{tier}_std") > 0)
