@@ -41,15 +41,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays: that of the smallest id."""
     docs = docs.select(*COLUMNS)
-    classes = cut(near_duplicates(docs).select("doc_id", "kept"), "kept")
-    kept = classes.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    one = docs.join(kept.filter("rows = 1"), "doc_id", "left_semi")
-    none = docs.filter("doc_id IS NULL")
-    repeated = kept.filter("rows > 1")
+    classes = cut(near_duplicates(docs).filter("doc_id IS NOT NULL").select("doc_id", "kept"), "kept")
+    # texts meet the short list of those that go, which Spark broadcasts if it is small
+    gone = cut(classes.filter("NOT kept").select("doc_id").distinct(), "gone")
+    rest = docs.join(gone, "doc_id", "left_anti")
+    repeated = classes.filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    repeated = cut(repeated.filter("rows > 1").select("doc_id"), "repeated")
     if repeated.limit(1).count():  # rows of one id are one document
-        some = docs.join(repeated, "doc_id", "left_semi")
-        one = one.unionByName(some.dropDuplicates(["doc_id"]))
-    return one.unionByName(none)
+        one = rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        rest = rest.join(repeated, "doc_id", "left_anti").unionByName(one)
+    return rest.select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
