@@ -149,6 +149,21 @@ def test_passages(spark):
     assert passages.shared_passages(nothing(spark)).count() == 0
 
 
+def test_passages_apart_in_both_documents(spark):
+    r = random.Random(11)
+    rows, want = [], {}
+    for k, (size, one, two) in enumerate([(60, 40, 40), (60, 100, 100), (60, 0, 100), (100, 100, 100), (200, 200, 200)]):
+        p, q = prose(r, size), prose(r, size)
+        for i, gap in ((2 * k, one), (2 * k + 1, two)):
+            rows.append((i, " ".join([prose(r, 30), p, prose(r, gap), q, prose(r, 30)])))
+        want[2 * k + 1] = [(30, 30 + size), (30 + size + two, 30 + 2 * size + two)]
+    got = passages.shared_passages(documents(spark, rows)).collect()
+    assert all(x.similarity >= passages.SIMILARITY for x in got)
+    for i, spans in want.items():
+        for s, e in spans:
+            assert any(x.doc_id == i and x.passage_start <= s and x.passage_end >= e for x in got), (i, s, e)
+
+
 def test_passages_find_every_exact_repeat(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     have = defaultdict(set)
