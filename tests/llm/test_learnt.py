@@ -93,6 +93,23 @@ def test_crowded_regions_are_split(spark, monkeypatch):
     check_classes(spark, rows)
 
 
+def test_parts_of_a_crowded_region_meet(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "REGION", 8)
+    r = random.Random(12)
+    base = prose(r, 300).split()
+    rows = [(0, " ".join(base))]
+    for i in range(1, 90):  # each like the base, but not like one another
+        w = list(base)
+        for at in range(6, 300, 60):
+            w[at + r.randint(0, 45)] = f"own{i}x{at}"
+        rows.append((i, " ".join(w)))
+    sets = {i: shingles(t, 5) for i, t in rows}
+    alike = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    linked = [i for i in sets if i and alike(0, i)]
+    assert len(linked) > 60 and sum(alike(a, b) for a in linked for b in linked if a < b) < 40
+    check_classes(spark, rows, words=5)
+
+
 def test_near_copies_without_rows_and_with_repeats(spark):
     assert near_dedup.near_duplicates(nothing(spark)).count() == 0
     r = random.Random(3)

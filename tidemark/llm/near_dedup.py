@@ -260,6 +260,49 @@ def _second(percent: int):
     return run
 
 
+def _linked(percent: int):
+    """The links of a block between components that were apart, confirmed on full sets.
+
+    Of each two components one link is enough, so a block gives fewer links than it
+    has documents, however many pairs are likely.
+    """
+    floor = _least_agreement(percent / 100, LONG)
+
+    def run(batches):
+        for r in _runs(batches):
+            names, comp = np.unique(r.column("comp").to_numpy(), return_inverse=True)
+            if len(names) == 1:
+                continue
+            ids, n, shared = (r.column(c).to_numpy() for c in ("id", "size", "shared"))
+            sketch = np.frombuffer(b"".join(r.column("long").to_pylist()), dtype=np.uint8).reshape(len(ids), LONG)
+            sets = r.column("shingles").combine_chunks()
+            ends = np.cumsum(sets.value_lengths().to_numpy())
+            found, flat = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+            own = np.split(flat, ends[:-1])
+            mark = np.zeros(len(found), dtype=bool)
+            a, b = [], []
+            for i in np.flatnonzero(comp != np.bincount(comp).argmax()):
+                most = np.minimum(shared, shared[i])
+                fit = (comp != comp[i]) & (100 * most >= percent * (n + n[i] - most))
+                at = np.flatnonzero(fit)
+                agree = (sketch[at] == sketch[i]).sum(1)
+                at = at[np.lexsort((at, -agree))][: int((agree >= floor).sum())]
+                mark[own[i]] = True
+                for j in at.tolist():
+                    if comp[i] == comp[j]:
+                        continue
+                    common = int(mark[own[j]].sum())
+                    if 100 * common >= percent * (n[i] + n[j] - common):
+                        a.append(min(ids[i], ids[j]))
+                        b.append(max(ids[i], ids[j]))
+                        comp[comp == comp[j]] = comp[i]
+                mark[own[i]] = False
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def _long_sketches(sets: list[np.ndarray]) -> list[bytes | None]:
     """Eight bits of LONG minimum hashes of each set."""
     rng = np.random.default_rng(SEED + 1)
@@ -312,10 +355,10 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * union).select("a", "b").distinct()
 
 
-def _pick_sets(t: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """Shingle sets of the documents in ``pairs``."""
+def _pick_sets(t: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """Shingle sets of the documents in ``ids``."""
     spark = t.sparkSession
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "paired")
+    ids = cut(ids.distinct(), "paired")
     few = ids.count() <= PICKED
     wanted = np.sort(ids.toArrow()["id"].to_numpy()) if few else None
     rows = t if few else t.join(ids, "id", "left_semi")
@@ -351,6 +394,9 @@ def near_duplicates(
        Whether it can be is told by the shingles that no other of these documents
        has (exactly) and by a longer sketch. So pairs that are left out are those
        within a component, which change nothing, and those that can't be linked.
+    6. All documents of a region that was split are compared under its prefix of
+       SHALLOW values, block by block, wherever they are not in one component yet:
+       splitting costs no pair.
 
     Returns one row for each row: ``id_col``, n_shingles, component_id and kept
     (``id_col`` = component_id). Null or blank texts have an empty set and are linked
@@ -371,20 +417,19 @@ def near_duplicates(
         _plant, f"{keys}, id long, n long, sketch binary"
     )
     forest = _adapted(cut(forest, "forest"))
+    wide = forest.filter("wide IS NOT NULL").select("id", F.col("wide").alias("region"), "n")
     found = cut(
-        forest.repartition("region").sortWithinPartitions("region").mapInArrow(_first(similarity), _FIRST),
+        forest.drop("wide").repartition("region").sortWithinPartitions("region").mapInArrow(_first(similarity), _FIRST),
         "found",
     )
     pairs = cut(found.filter("b IS NOT NULL").select("a", "b").distinct(), "pairs")
-    sets = _pick_sets(t.filter("id IS NOT NULL"), pairs, words)
+    texts = t.filter("id IS NOT NULL")
+    sets = _pick_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")), words)
     links = cut(_confirm(pairs, sets, percent), "confirmed")
     first = cut(components(links), "components")
 
     members = found.filter("b IS NULL").select(F.col("a").alias("id"), "region", "n")
-    members = members.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn(
-        "comp", F.coalesce("component", "id")
-    )
-    members = cut(_split(members).select("region", "id", "n", "comp"), "members")
+    members = cut(_apart(members, first), "members")
     # shingles that no other of these documents has can't be common to a pair of them
     own_sets = sets.join(members.select("id").distinct(), "id")
     alone = own_sets.select("id", F.explode("shingles").alias("s")).groupBy("s")
@@ -403,6 +448,8 @@ def near_duplicates(
     more = cut(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
     if more.limit(1).count():
         links = cut(links.unionByName(_confirm(more, sets, percent)), "confirmed")
+    if wide.limit(1).count():
+        links = cut(links.unionByName(_across(wide, links, texts, sets, words, percent)), "confirmed")
     # rows of one id may have several sets: they are one document
     own = some.select("id", "x", "y", "n").distinct()
     own = own.join(reps.select("x", "y", "n", "rep"), ["x", "y", "n"])
@@ -428,14 +475,73 @@ def _split(members: DataFrame) -> DataFrame:
     return members.join(crowded.filter("lo <> hi").select("region"), "region")
 
 
+def _apart(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """The members, with their components, of regions that are in more than one."""
+    members = members.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn(
+        "comp", F.coalesce("component", "id")
+    )
+    return _split(members).select("region", "id", "n", "comp")
+
+
+def _across(wide: DataFrame, links: DataFrame, texts: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between the components that are left of each region that was split."""
+    members = cut(_apart(wide, components(links)), "members")
+    lone = cut(members.select("id").distinct().join(sets, "id", "left_anti"), "lone")
+    if lone.limit(1).count():  # the first round gave them no partner
+        sets = cut(sets.unionByName(_pick_sets(texts, lone, words)), "sets")
+    # as in the second round: what no other document has is common to no pair
+    own = sets.join(members.select("id").distinct(), "id")
+    own = own.select("id", "long", F.size("shingles").alias("size"), "shingles", F.monotonically_increasing_id().alias("row"))
+    own = cut(own, "own")
+    held = own.select("id", "row", F.explode("shingles").alias("s"))
+    often = held.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("row").alias("row"))
+    alone = often.filter("k = 1").groupBy("row").agg(F.count(F.lit(1)).alias("alone"))
+    own = own.join(alone, "row", "left").withColumn("shared", F.col("size") - F.coalesce("alone", F.lit(0)))
+    own = cut(own.filter(100 * F.col("shared") >= percent * F.col("size")).drop("row", "alone"), "own")
+    members = members.select("region", "id", "comp").distinct().join(own.select("id").distinct(), "id")
+    blocks = _blocks(cut(_split(members), "members")).join(own, "id")
+    blocks = blocks.select("region", "id", "comp", "size", "shared", "long", "shingles")
+    blocks = blocks.repartition("region").sortWithinPartitions("region")
+    return cut(blocks.mapInArrow(_linked(percent), "a long, b long").distinct(), "across")
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """The members with each region of more than REGION dealt into blocks.
+
+    Documents outside a region's largest component probe all of it. Probes are dealt
+    into parts, and so are all members: a block is one part of each, so that every
+    probe meets every member in a block, and no block has more than about 2 * REGION
+    rows. A region that is not crowded is one block.
+    """
+    sizes = members.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("k"))
+    sizes = sizes.groupBy("region").agg(F.sum("k").alias("crowd"), F.max(F.struct("k", "comp"))["comp"].alias("large"), F.max("k").alias("k"))
+    sizes = sizes.filter(F.col("crowd") > REGION).select(
+        "region", "large", F.ceil(F.col("crowd") / REGION).alias("parts"), F.ceil((F.col("crowd") - F.col("k")) / REGION).alias("probes")
+    )
+    sizes = cut(sizes, "sizes")
+    if not sizes.limit(1).count():
+        return members
+    small = members.join(sizes.select("region"), "region", "left_anti")
+    x = members.join(sizes, "region")
+    part = lambda n: F.pmod(F.xxhash64("id"), n)
+    every = F.sequence(F.lit(0).cast("long"), F.col("probes") - 1)
+    own = F.transform(every, lambda p: F.struct(p.alias("p"), part(F.col("parts")).alias("q")))
+    along = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    probing = F.transform(along, lambda q: F.struct(part(F.col("probes")).alias("p"), q.alias("q")))
+    probing = F.when(F.col("comp") != F.col("large"), probing).otherwise(F.slice(probing, 1, 0))
+    x = x.withColumn("block", F.explode(F.array_distinct(F.concat(own, probing))))
+    x = x.withColumn("region", F.xxhash64("region", "block.p", "block.q")).select(members.columns)
+    return small.unionByName(x)
+
+
 def _adapted(forest: DataFrame) -> DataFrame:
     """The forest with each row's region: the shallowest key that is not too crowded.
 
     Documents that still share a crowded key at full depth are dealt by id into
-    parts of about REGION; such documents agree in a whole tree, and the other trees
-    and the spanning forests tie the parts together.
+    parts of about REGION. ``wide`` is the shallowest key of those whose region was
+    split: what the parts miss of each other is found by ``_across``.
     """
-    out = forest.withColumn("region", F.col(f"k{SHALLOW}"))
+    out = forest.withColumn("region", F.col(f"k{SHALLOW}")).withColumn("wide", F.lit(None).cast("long"))
     for d in range(SHALLOW + 1, DEPTH + 2):
         crowds = out.groupBy("region").agg(F.count(F.lit(1)).alias("crowd")).filter(F.col("crowd") > REGION)
         crowds = cut(crowds, "crowds")
@@ -444,9 +550,10 @@ def _adapted(forest: DataFrame) -> DataFrame:
         parts = F.ceil(F.col("crowd") / REGION)
         key = F.col(f"k{d}") if d <= DEPTH else F.xxhash64("region", F.pmod(F.xxhash64("id"), parts))
         out = out.join(crowds, "region", "left")
-        out = out.withColumn("region", F.when(F.col("crowd").isNull(), F.col("region")).otherwise(key))
+        wide = F.when(F.col("crowd").isNull(), F.col("wide")).otherwise(F.col(f"k{SHALLOW}"))
+        out = out.withColumn("region", F.when(F.col("crowd").isNull(), F.col("region")).otherwise(key)).withColumn("wide", wide)
         out = cut(out.drop("crowd"), "forest")
-    return out.select("region", "id", "n", "sketch")
+    return out.select("region", "wide", "id", "n", "sketch")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
