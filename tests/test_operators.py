@@ -1,13 +1,17 @@
 import datetime as dt
 import random
+import re
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import groups, integrity, ledger, perf, policy, sessions, texts, xsec
+from tidemark.plans import texts as plan_texts
 from tidemark.streaming import ingest
 
+from .oracle import SF
+
 DAY = dt.date(2024, 1, 1)
 
 
@@ -145,6 +149,24 @@ def test_sections_skip_the_table_of_contents():
     assert texts.sections_of("10-K", None) == []
 
 
+def test_sections_of_whole_documents(spark):
+    want = {}
+    for x in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        if x.text is None:
+            continue
+        t = re.sub(r"[\x20\x09-\x0D]+", " ", x.text).strip(" ")
+        n = -(-len(t) // 3)
+        toc = "Item 1. Business\nItem 1A. Risk Factors\nItem 7. Management's Discussion\n"
+        body = f"{toc}Item 1. Business\n{t[:n]}\nItem 1A - Risk Factors\n{t[n : 2 * n]}\nItem 2. Properties\nnone\nItem 7. Management's Discussion\n{t[2 * n :]}"
+        left = 300_000
+        for pos, (item, text) in enumerate(texts.sections_of("10-K", body)):
+            if left > 0:
+                want[x.doc_id, pos] = (item, min(left, len(text)))
+                left -= len(text)
+    got = {(x.doc_id, x.pos): (x.item, x.n_chars) for x in plan_texts.filing_sections(spark, SF).collect()}
+    assert got == want and max(n for _, n in got.values()) > 450
+
+
 def test_plain_text():
     assert texts.plain_text("no tags < 1") == "no tags < 1"
     assert texts.plain_text("<head>x</head><p>a&amp;b  <b>c</b></p><script>d</script><div>e</div>") == "a&b c\ne"

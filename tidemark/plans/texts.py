@@ -10,6 +10,10 @@ from tidemark.operators import texts as X
 from tidemark.sources import frames as fr
 
 
+#: Characters that the sections of a filing have together at most, as in the reference.
+SECTION_CHARS = 300_000
+
+
 def _docs(spark, d, *more):
     return fr.read(spark, d, "documents", "doc_id", "text", *more)
 
@@ -41,12 +45,13 @@ def filing_text(spark, d):
 
 
 def filing_sections(spark, d):
-    """Sections of filings that are put together from documents."""
+    """Sections of filings that are put together from the thirds of whole documents."""
     x = _docs(spark, d).withColumn("t", S.squeezed(F.col("text")))
     toc = F.lit("Item 1. Business\nItem 1A. Risk Factors\nItem 7. Management's Discussion\n")
-    part = lambda n: F.substring(F.col("t"), F.lit(1 + 200 * n), F.lit(200))
+    third = F.ceil(F.char_length("t") / 3).cast("int")
+    part = lambda n: F.substring(F.col("t"), 1 + n * third, third)
     body = F.concat(toc, F.lit("Item 1. Business\n"), part(0), F.lit("\nItem 1A - Risk Factors\n"), part(1), F.lit("\nItem 2. Properties\nnone\nItem 7. Management's Discussion\n"), part(2))
-    x = x.select("doc_id", X.bounded(X.target_sections(F.lit("10-K"), body), 450).alias("s"))
+    x = x.select("doc_id", X.bounded(X.target_sections(F.lit("10-K"), body), SECTION_CHARS).alias("s"))
     x = x.select("doc_id", F.posexplode("s").alias("pos", "s"))
     return x.select("doc_id", F.col("pos").cast("long"), F.col("s.item").alias("item"), F.char_length("s.text").cast("long").alias("n_chars"))
 
