@@ -181,6 +181,15 @@ def test_passages_apart_in_both_documents(spark):
             assert any(x.doc_id == i and x.passage_start <= s and x.passage_end >= e for x in got), (i, s, e)
 
 
+def test_passages_of_lines_that_came_before(spark):
+    r = random.Random(13)
+    shared = prose(r, 60).split()  # all its short runs occur in earlier documents
+    rows = [(i, " ".join([prose(r, 40), *shared[10 * i : 10 * i + 14], prose(r, 40)])) for i in range(6)]
+    rows += [(i, " ".join([prose(r, 30), *shared, prose(r, 30)])) for i in (10, 11)]
+    got = passages.shared_passages(documents(spark, rows)).collect()
+    assert any(x.doc_id == 11 and x.other_id == 10 and x.passage_start <= 30 and x.passage_end >= 90 for x in got)
+
+
 def test_passages_find_every_exact_repeat(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     have = defaultdict(set)
