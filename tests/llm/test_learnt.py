@@ -190,6 +190,19 @@ def test_passages_of_lines_that_came_before(spark):
     assert any(x.doc_id == 11 and x.other_id == 10 and x.passage_start <= 30 and x.passage_end >= 90 for x in got)
 
 
+def test_passages_of_many_changed_words(spark):
+    r = random.Random(14)
+    rows = []
+    for k in range(40):
+        one = prose(r, 80).split()
+        two = list(one)
+        for at in r.sample(range(80), 12):
+            two[at] = f"new{k}x{at}"
+        rows += [(i, " ".join([prose(r, 30), *w, prose(r, 30)])) for i, w in ((2 * k, one), (2 * k + 1, two))]
+    got = {x.doc_id for x in passages.shared_passages(documents(spark, rows)).collect() if x.other_id == x.doc_id - 1}
+    assert len(got) >= 38
+
+
 def test_passages_find_every_exact_repeat(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     have = defaultdict(set)
