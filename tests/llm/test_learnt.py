@@ -216,6 +216,52 @@ def test_passages_find_every_exact_repeat(spark):
                 assert have[i] >= set(range(j, j + 50))
 
 
+def test_two_documents_and_pairs_of_very_many_matches(spark):
+    r = random.Random(21)
+    shared, long = prose(r, 60), prose(r, 40_000)
+    rows = [(1, prose(r, 20) + " " + shared), (2, shared + " " + prose(r, 20))]
+    got = passages.shared_passages(documents(spark, rows).coalesce(1)).collect()
+    assert [(x.doc_id, x.other_id, x.passage_start, x.passage_end) for x in got] == [(2, 1, 0, 60)]
+    rows = [(1, long), (2, long + " more"), (3, "other " + long[: len(long) // 2])]
+    got = {x.doc_id: x for x in passages.shared_passages(documents(spark, rows).coalesce(1)).collect()}
+    assert (got[2].passage_start, got[2].passage_end) == (0, 40_000) and got[3].passage_end >= 19_990
+
+
+def test_gaps_of_any_length(spark):
+    r = random.Random(22)
+    rows = []
+    for k, gap in enumerate([20, 60, 100, 150, 200, 300, 600, 1000]):
+        p, q = prose(r, 200), prose(r, 200)
+        rows += [(2 * k + i, " ".join([p, prose(r, gap), q])) for i in (0, 1)]
+    have = defaultdict(set)
+    for x in passages.shared_passages(documents(spark, rows)).collect():
+        have[x.doc_id].update(range(x.passage_start, x.passage_end))
+    for k, gap in enumerate([20, 60, 100, 150, 200, 300, 600, 1000]):
+        assert have[2 * k + 1] >= {*range(200), *range(200 + gap, 400 + gap)}
+
+
+def test_passages_within_a_document(spark):
+    r = random.Random(23)
+    shared = prose(r, 80)
+    rows = [(1, " ".join([shared, prose(r, 30), shared])), (2, prose(r, 90)), (3, "la " * 3000)]
+    assert passages.shared_passages(documents(spark, rows)).count() == 0
+    got = {x.doc_id: x for x in passages.shared_passages(documents(spark, rows), within=True).collect()}
+    assert (got[1].other_id, got[1].passage_start, got[1].passage_end) == (1, 110, 190) and 2 not in got
+
+
+def test_seeds_of_very_many_documents(spark, monkeypatch):
+    monkeypatch.setattr(passages, "GATHERED", 200)
+    monkeypatch.setattr(passages, "BUCKET", 100)
+    r = random.Random(24)
+    shared = prose(r, 70)
+    rows = [(i, " ".join([prose(r, 30), shared, prose(r, 10), shared])) for i in range(60)]
+    have = defaultdict(set)
+    for x in passages.shared_passages(documents(spark, rows)).collect():
+        assert x.other_id < x.doc_id
+        have[x.doc_id].update(range(x.passage_start, x.passage_end))
+    assert set(have) == set(range(1, 60)) and all(v >= {*range(30, 100), *range(110, 180)} for v in have.values())
+
+
 # extraction
 
 
@@ -260,12 +306,15 @@ def test_language_of_awkward_rows(spark):
     train = [(i, prose(r, 50), "la") for i in range(20)] + [(100 + i, "zzz qqq xxx " * 20, "zz") for i in range(20)] + [(200, None, "la"), (201, "x", None)]
     profiles = langid.learn(documents(spark, train))
     assert set(profiles) == {"la", "zz"}
-    rows = [(1, prose(r, 40)), (2, "qqq zzz"), (3, None), (4, ""), (5, "12 34 !!"), (6, "x"), (None, "qqq"), (7, "— “”"), (8, "zzz " * 30000)]
+    rows = [(1, prose(r, 40)), (2, "qqq zzz"), (3, None), (4, ""), (5, "½ ² Ⅷ ① 12 34 !!"), (6, "x"), (None, "qqq"), (7, "— “”"), (8, "zzz " * 30000)]
     got = {x.doc_id: x for x in langid.identify(documents(spark, rows), profiles).collect()}
     assert got[1].lang_pred == "la" and got[2].lang_pred == got[8].lang_pred == "zz"
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (3, 4, 5, 7))
     assert langid.identify(documents(spark, rows), {}).filter("lang_pred <> 'und'").count() == 0
     assert langid.learn(nothing(spark)) == {}
+    clash = documents(spark, rows).withColumn("body", F.col("text")).withColumn("text", F.lit(1))
+    clash = langid.identify(clash, profiles, text_col="body").collect()
+    assert {x.doc_id: x.lang_pred for x in clash} == {i: x.lang_pred for i, x in got.items()}
 
 
 def test_bundles_are_sums_of_bound_letters():

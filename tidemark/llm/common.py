@@ -7,9 +7,13 @@ that an executor lost later costs nothing that was finished before it.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +26,12 @@ _RUN = uuid.uuid4().hex[:12]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; made here only if none is set."""
+    """The folder that driver and executors share; made here only in local mode, if none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tidemark-{_RUN}"
@@ -55,6 +62,64 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that Spark hands to a Python worker at once.
+BATCH_BYTES = 4_000_000
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _tidy(run: Callable) -> Callable:
+    """``run``, which gives its free memory back when it ends: idle workers hold little."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return whole
+
+
+def arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` in batches of bounded size: a batch of long texts has few rows.
+
+    The bound is a setting of the session; it is lowered only if it is Spark's default.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH).rstrip("b") == str(64 << 20):
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(_tidy(run), schema)
+
+
+#: Ids that may be broadcast to pick rows out of a scan (8 bytes each).
+PICKED = 1_000_000
+
+
+def _picker(wanted, inside: bool):
+    def run(batches):
+        ids = wanted.value
+        for b in batches:
+            own = b.column("id").to_numpy()
+            yield b.filter(pa.array(np.isin(own, ids) == inside))
+
+    return run
+
+
+def pick(t: DataFrame, ids: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows of ``t`` whose id is among ``ids``, or those whose id is not.
+
+    Up to PICKED ids are broadcast, so that texts are not shuffled; more are joined.
+    No id of ``t`` may be null.
+    """
+    ids = cut(ids.select("id").distinct(), "ids")
+    if ids.count() > PICKED:
+        return t.join(ids, "id", "left_semi" if inside else "left_anti")
+    wanted = t.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow()["id"].to_numpy()))
+    return arrow(t, _picker(wanted, inside), t.schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of an input table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import arrow, cut
 
 #: Edges that one task contracts: what it holds does not grow with the graph.
 CHUNK = 100_000
@@ -53,7 +53,7 @@ def components(edges: DataFrame) -> DataFrame:
         parts = max(1, -(-size // CHUNK))
         # by row, not by key: a node with many edges may be in every part
         dealt = links.repartition(parts) if parts > 1 else links.coalesce(1)
-        stars = cut(dealt.mapInArrow(_contract, "v long, u long").distinct(), "links")
+        stars = cut(dealt.transform(arrow, _contract, "v long, u long").distinct(), "links")
         if parts == 1:
             links = stars
             break

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import arrow, cut, table
 
 #: Bytes outside words become blanks, A-Z become a-z; bytes from 0x80 on are kept.
 _TABLE = bytes(
@@ -140,7 +140,7 @@ def decontaminate(
     bench = bench.select(F.col(item_col).cast("string"), F.col(item_text_col))
     for k, block in enumerate(_blocks(bench)):
         index = spark.sparkContext.broadcast(WordIndex(block, window))
-        out = (cut(out, "searched") if k else out).mapInArrow(_searcher(index), schema)
+        out = (cut(out, "searched") if k else out).transform(arrow, _searcher(index), schema)
     return out.select(
         F.col("id").alias(id_col),
         F.col("text").alias(text_col),

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import arrow, table
 from .dom import Block, blocks
 from .labelled_pages import labelled_pages
 
@@ -175,7 +175,7 @@ def extract_text(
     rows = pages.select(id_col, url_col, html_col)
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:2]]
     fitted = pages.sparkSession.sparkContext.broadcast(model or trained())
-    return rows.mapInArrow(_extractor(fitted), ", ".join([*kinds, "text string", "n_chars long"]))
+    return rows.transform(arrow, _extractor(fitted), ", ".join([*kinds, "text string", "n_chars long"]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import re
+import hashlib
+from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, table
+from .common import arrow, crc_mod, table
 
 #: Components of a vector; letters of the alphabet (the first is the gap).
 DIM = 1024
@@ -25,7 +26,6 @@ _LETTER = bytes(
     else 59 + b % 5 if b >= 0xC0 else 0
     for b in range(256)
 )
-_HAS_LETTER = re.compile(r"[^\W\d_]")
 
 
 @lru_cache(1)
@@ -60,18 +60,12 @@ def _bundle(counts: np.ndarray) -> np.ndarray:
 def _learn(batches):
     sums: dict[str, np.ndarray] = {}
     for b in batches:
-        counts: dict[str, np.ndarray] = {}
+        codes = defaultdict(list)
         texts = b.column("text").cast(pa.binary()).to_pylist()
         for lang, text in zip(b.column("lang").to_pylist(), texts, strict=True):
-            codes = _codes(text)
-            if lang not in counts:
-                counts[lang] = np.zeros(LETTERS**3, dtype=np.int64)
-            if len(codes) > 20_000:
-                counts[lang] += np.bincount(codes, minlength=LETTERS**3)
-            else:
-                np.add.at(counts[lang], codes, 1)
-        for lang, c in counts.items():
-            sums[lang] = sums.get(lang, 0) + _bundle(c)
+            codes[lang].append(_codes(text))
+        for lang, c in codes.items():  # one table of counts at a time
+            sums[lang] = sums.get(lang, 0) + _bundle(np.bincount(np.concatenate(c), minlength=LETTERS**3))
     langs = sorted(sums)
     yield pa.RecordBatch.from_arrays(
         [
@@ -92,7 +86,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
-    parts = rows.mapInArrow(_learn, "lang string, bundle array<long>")
+    parts = rows.transform(arrow, _learn, "lang string, bundle array<long>")
     sums = (
         parts.select("lang", F.posexplode("bundle"))
         .groupBy("lang", "pos")
@@ -124,20 +118,19 @@ def _table(profiles: dict[str, list[int]]) -> tuple[list[str], np.ndarray]:
     return langs, out.reshape(LETTERS**3, len(langs))
 
 
-_tables: dict[int, tuple] = {}
+_tables: dict[str, tuple] = {}
 
 
-def _predictor(profiles):
+def _predictor(profiles, key: str, text_col: str):
     def run(batches):
-        key = profiles.id if hasattr(profiles, "id") else id(profiles)
         if key not in _tables:
             _tables.clear()
             _tables[key] = _table(profiles.value)
         langs, inner = _tables[key]
         for b in batches:
             pred, score = [], []
-            for text in b.column("text").to_pylist():
-                if not langs or text is None or not _HAS_LETTER.search(text):
+            for text in b.column(text_col).to_pylist():
+                if not langs or text is None or not any(map(str.isalpha, text)):
                     pred.append(UNDETERMINED)
                     score.append(0.0)
                     continue
@@ -160,16 +153,17 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "t
     lang_pred is the language whose prototype has the largest cosine with the text's
     bundle (the first by code point among equals); score is that cosine's share of
     all positive ones, which the bundle's own length leaves unchanged. Null texts and
-    texts without a letter are ``und`` with score 0, as all are if nothing was
-    learned. Columns named lang_pred or score are replaced.
+    texts without a letter (a character of the Unicode categories L) are ``und`` with
+    score 0, as all are if nothing was learned. Columns named lang_pred or score are
+    replaced, unless one of them is ``text_col``; all others stay, whatever their names.
     """
     spark = docs.sparkSession
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score", text_col)]
-    rows = docs.select(*keep, F.col(text_col).alias("text"))
+    keep = [c for c in docs.columns if c == text_col or c not in ("lang_pred", "score")]
+    rows = docs.select(*keep)
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     fields = T.StructType(rows.schema.fields + added)
-    out = rows.mapInArrow(_predictor(spark.sparkContext.broadcast(profiles)), fields)
-    return out.withColumnRenamed("text", text_col)
+    key = hashlib.sha256(repr(sorted(profiles.items())).encode()).hexdigest()
+    return rows.transform(arrow, _predictor(spark.sparkContext.broadcast(profiles), key, text_col), fields)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, table
+from .common import arrow, crc_mod, cut, table
 from .lattice import BYTE_MASS, Lattice, load_pieces
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -156,7 +156,7 @@ def score(
         (F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))).alias("learn"),
     )
     # text corpus statistics, over all texts
-    counted = t.select("text", "learn").mapInArrow(_count, "word string, n long, c long")
+    counted = t.select("text", "learn").transform(arrow, _count, "word string, n long, c long")
     vocab = cut(counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c")), "words")
     got = vocab.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long"))).first()
     words_n, words_v = got[0] or 0, got[1] or 0
@@ -169,7 +169,7 @@ def score(
     for _ in range(PASSES if words_n else 0):
         model = spark.sparkContext.broadcast((pieces, logp))
         e = np.zeros(len(pieces))
-        rows = vocab.filter("c > 0").select("word").mapInArrow(_expect(model), "piece long, e double")
+        rows = vocab.filter("c > 0").select("word").transform(arrow, _expect(model), "piece long, e double")
         for r in rows.groupBy("piece").agg(F.sum("e").alias("e")).collect():  # one row a piece
             e[r.piece] = r.e
         q = (e + PRIOR * np.exp(prior)) / (e.sum() + PRIOR * np.exp(prior).sum())
@@ -177,7 +177,7 @@ def score(
     model = spark.sparkContext.broadcast((pieces, logp))
     stats = (n, v, words_n, words_v, stop)
     valued = cut(
-        vocab.mapInArrow(_spell(model, stats), "word string, n long, c long, base double, p double"),
+        vocab.transform(arrow, _spell(model, stats), "word string, n long, c long, base double, p double"),
         "values",
     )
 
@@ -202,7 +202,7 @@ def score(
         ", learn boolean, n long, known long, base double, p double, rare array<string>, rare_n array<long>"
     )
     rows = t.withColumn("uid", F.monotonically_increasing_id())
-    rows = cut(rows.mapInArrow(_score(common), fields), "scored")
+    rows = cut(rows.transform(arrow, _score(common), fields), "scored")
     rare = rows.select("uid", F.explode(F.arrays_zip("rare", "rare_n")).alias("r"))
     rare = rare.select("uid", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("k"))
     rest = (

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import PICKED, arrow, cut, table
 from .components import components
 
 #: Trees of the forest, and hashes of each: a tree sorts by its own hashes in order.
@@ -23,8 +23,6 @@ HASHES = TREES * DEPTH
 SEED = 7
 #: Standard deviations that an estimate may be below the threshold.
 SLACK = 3.5
-#: Best partners of a document that are tried in the first round.
-BEST = 4
 #: Hashes of the long sketches that the second round compares.
 LONG = 512
 #: Bytes of text whose shingles are hashed at once.
@@ -168,10 +166,12 @@ def _least_agreement(similarity: float, hashes: int = HASHES) -> int:
 
 
 def _first(similarity: float):
-    """Pairs of each region: its maximum spanning forest and each one's best partners.
+    """Pairs of each region: its maximum spanning forest by estimated similarity.
 
-    Partners have the longest common prefix in some tree; which of them come first
-    is told by all hashes. Rows of a region that has any pair are handed on as well.
+    Partners have the longest common prefix in some tree; how alike they are is told
+    by all hashes, and among equals by a hash of both ids. So no two pairs weigh the
+    same, and all trees propose the same pair for the same documents. Rows of a region
+    that has any pair are handed on as well.
     """
     floor = _least_agreement(similarity)
 
@@ -182,29 +182,32 @@ def _first(similarity: float):
             raw = r.column("sketch").to_pylist()
             sketch = np.frombuffer(b"".join(raw), dtype=np.uint8).reshape(len(ids), HASHES)[order]
             m = len(ids)
-            best, link = np.full(m, -1), np.zeros(m, dtype=np.int64)  # for the forest
+            with np.errstate(over="ignore"):
+                salt = _mix(ids.astype(np.uint64) * _A + _B)
+            best, link = np.full(m, -1.0), np.zeros(m, dtype=np.int64)  # for the forest
             done = np.zeros(m, dtype=bool)
-            pairs, linked = set(), np.zeros(m, dtype=bool)
+            pairs, linked = [], np.zeros(m, dtype=bool)
             here = 0
             for _ in range(m):
                 done[here] = True
                 agree = _agree(sketch, here)
                 fit = (agree >= floor) & (np.minimum(n, n[here]) >= similarity * np.maximum(n, n[here]) - 1e-9)
                 fit[here] = False
-                if fit.any():
-                    linked[here] = True
-                    partners = np.flatnonzero(fit)
-                    some = partners[np.lexsort((partners, -agree[partners]))[:BEST]]
-                    pairs.update((min(here, p), max(here, p)) for p in some.tolist())
-                better = fit & ~done & (agree > best)
-                best[better], link[better] = agree[better], here
-                rest = np.where(done, -2, best)
+                linked[here] = fit.any()
+                at = np.flatnonzero(fit & ~done)
+                if len(at):
+                    with np.errstate(over="ignore"):
+                        tie = _mix((salt[at] ^ salt[here]) * _C) >> np.uint64(12)
+                    weight = agree[at] + tie.astype(np.float64) / 2.0**53
+                    better = weight > best[at]
+                    best[at[better]], link[at[better]] = weight[better], here
+                rest = np.where(done, -2.0, best)
                 here = int(rest.argmax())
                 if rest[here] >= 0:
-                    pairs.add((min(here, int(link[here])), max(here, int(link[here]))))
+                    pairs.append((min(here, int(link[here])), max(here, int(link[here]))))
             if not pairs:
                 continue
-            p = np.array(sorted(pairs))
+            p = np.array(pairs)
             yield _out(ids[p[:, 0]], ids[p[:, 1]])
             at = np.flatnonzero(linked)
             yield _out(ids[at], None, r.column("region")[0].as_py(), n[at])
@@ -341,10 +344,6 @@ def _sets(size: int, wanted):
     return run
 
 
-#: Ids that may be broadcast to pick documents out of a scan (8 bytes each).
-PICKED = 500_000
-
-
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s"))
@@ -362,7 +361,7 @@ def _pick_sets(t: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     few = ids.count() <= PICKED
     wanted = np.sort(ids.toArrow()["id"].to_numpy()) if few else None
     rows = t if few else t.join(ids, "id", "left_semi")
-    picked = rows.mapInArrow(_sets(size, spark.sparkContext.broadcast(wanted)), "id long, shingles array<long>, long binary")
+    picked = rows.transform(arrow, _sets(size, spark.sparkContext.broadcast(wanted)), "id long, shingles array<long>, long binary")
     return cut(picked, "sets")
 
 
@@ -387,7 +386,7 @@ def near_duplicates(
        a place is. Two sets of similarity 0.8 share no region with probability
        (1 - 0.8 ** 3) ** 16 = 1e-5.
     3. First round: each region proposes the maximum spanning forest of its
-       estimated similarities and each document's BEST partners.
+       estimated similarities.
     4. Full sets confirm or refuse each pair; components are taken.
     5. Second round: for regions that are not in one component, every pair across
        components that can be similar and was not tried yet is confirmed as well.
@@ -405,7 +404,7 @@ def near_duplicates(
     empty table gives an empty result.
     """
     t = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = cut(t.mapInArrow(_sign(words), "id long, n long, x long, y long, sig binary"), "signed")
+    signed = cut(t.transform(arrow, _sign(words), "id long, n long, x long, y long, sig binary"), "signed")
     some = signed.filter("n > 0 AND id IS NOT NULL")
     reps = cut(
         some.groupBy("x", "y", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "reps"
@@ -413,13 +412,13 @@ def near_duplicates(
     similarity = percent / 100
 
     keys = ", ".join(f"k{d} long" for d in range(SHALLOW, DEPTH + 1))
-    forest = reps.select(F.col("rep").alias("id"), "n", "sig").mapInArrow(
-        _plant, f"{keys}, id long, n long, sketch binary"
+    forest = reps.select(F.col("rep").alias("id"), "n", "sig").transform(
+        arrow, _plant, f"{keys}, id long, n long, sketch binary"
     )
     forest = _adapted(cut(forest, "forest"))
     wide = forest.filter("wide IS NOT NULL").select("id", F.col("wide").alias("region"), "n")
     found = cut(
-        forest.drop("wide").repartition("region").sortWithinPartitions("region").mapInArrow(_first(similarity), _FIRST),
+        forest.drop("wide").repartition("region").sortWithinPartitions("region").transform(arrow, _first(similarity), _FIRST),
         "found",
     )
     pairs = cut(found.filter("b IS NOT NULL").select("a", "b").distinct(), "pairs")
@@ -442,7 +441,7 @@ def near_duplicates(
         members.select("region", "id", "n", "shared", "comp", "long")
         .repartition("region")
         .sortWithinPartitions("region")
-        .mapInArrow(_second(percent), "a long, b long")
+        .transform(arrow, _second(percent), "a long, b long")
         .distinct()
     )
     more = cut(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
@@ -502,7 +501,7 @@ def _across(wide: DataFrame, links: DataFrame, texts: DataFrame, sets: DataFrame
     blocks = _blocks(cut(_split(members), "members")).join(own, "id")
     blocks = blocks.select("region", "id", "comp", "size", "shared", "long", "shingles")
     blocks = blocks.repartition("region").sortWithinPartitions("region")
-    return cut(blocks.mapInArrow(_linked(percent), "a long, b long").distinct(), "across")
+    return cut(blocks.transform(arrow, _linked(percent), "a long, b long").distinct(), "across")
 
 
 def _blocks(members: DataFrame) -> DataFrame:

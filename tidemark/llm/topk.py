@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import arrow, cut, table
 
 #: Queries of one block, bins of one histogram, rows scored at once.
 BLOCK = 2048
@@ -148,7 +148,7 @@ def _select(vectors: DataFrame, ids, rows, most: float, k: int) -> DataFrame:
     need = [k] * n
     kth = [-_MAX - 1] * n  # all rows, if there are fewer than k
     while True:
-        got = vectors.mapInArrow(_histogram(block, lows, width, k), "q long, bin long, n long")
+        got = vectors.transform(arrow, _histogram(block, lows, width, k), "q long, bin long, n long")
         down = Window.partitionBy("q").orderBy(F.desc("bin"))
         got = got.groupBy("q", "bin").agg(F.sum("n").alias("n"))
         got = got.withColumn("run", F.sum("n").over(down))
@@ -167,7 +167,7 @@ def _select(vectors: DataFrame, ids, rows, most: float, k: int) -> DataFrame:
         if width == 1 or not found:
             break
         width //= BINS
-    return vectors.mapInArrow(_filter(block, kth, need, k), "query_id long, vec_id long, score long")
+    return vectors.transform(arrow, _filter(block, kth, need, k), "query_id long, vec_id long, score long")
 
 
 def top_k(
@@ -190,18 +190,17 @@ def top_k(
     are fewer candidates; every row but those with the query's own id is one.
     Vectors that are null or empty, or hold null or non-finite components, and rows
     without an id take no part; vectors of another length than the query's are no
-    candidates of it. Repeated ids: each row is a candidate; queries of one id and
-    vector count once. Scores beyond 64 bits are held at the limit. Empty tables give
+    candidates of it. Repeated ids: each row is a candidate; queries of one id are one
+    query, of the smallest of their vectors that are finite. Scores beyond 64 bits are held at the limit. Empty tables give
     an empty result.
     """
     spark = vectors.sparkSession
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    most = v.mapInArrow(_bound, "most double").agg(F.max("most")).first()[0] or 0.0
+    most = v.transform(arrow, _bound, "most double").agg(F.max("most")).first()[0] or 0.0
     parts: list[DataFrame] = []
     ids: list[int] = []
     rows: list[np.ndarray] = []
-    seen: set = set()
 
     def flush() -> None:
         if ids:
@@ -211,13 +210,11 @@ def top_k(
         ids.clear()
         rows.clear()
 
-    for r in asked.filter(F.col("id").isNotNull() & F.col("v").isNotNull()).toLocalIterator():
-        x = np.array([np.nan if c is None else c for c in r.v], dtype=np.float64)
-        if r.id in seen or not len(x) or not np.isfinite(x).all():
-            continue
-        seen.add(r.id)
+    finite = lambda c: c.isNotNull() & (F.abs(c) < float("inf"))  # noqa: E731  (NaN is larger)
+    asked = asked.filter(F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", finite))
+    for r in asked.groupBy("id").agg(F.min("v").alias("v")).toLocalIterator():
         ids.append(r.id)
-        rows.append(np.floor(x * 1024.0))
+        rows.append(np.floor(np.array(r.v, dtype=np.float64) * 1024.0))
         if len(ids) == BLOCK:
             flush()
     flush()
