@@ -160,7 +160,9 @@ def test_passages(spark):
     for x in got:
         by[x.doc_id].append(x)
     assert {i for i in by if i < 70} == {11, 12, 13, 14, 15, 21, 22, 23, 24, 25, 40, 41, 42}
-    assert all(x.other_id == 10 and x.end - x.start == 80 and x.similarity == 1.0 for i in range(11, 16) for x in by[i])
+    # a long seed near the passage's end may first be sampled in a later document than the first
+    assert all(any(x.other_id == 10 for x in by[i]) for i in range(11, 16))
+    assert all(x.end - x.start == 80 and x.similarity == 1.0 for i in range(11, 16) for x in by[i])
     assert all(x.passage_end - x.passage_start >= 85 for i in range(21, 26) for x in by[i])
     assert [(x.kind, x.other_id) for x in by[41]] == [("copy", 40)]
     assert passages.shared_passages(nothing(spark)).count() == 0
