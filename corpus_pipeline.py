@@ -48,7 +48,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated = classes.filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
     repeated = cut(repeated.filter("rows > 1").select("doc_id"), "repeated")
     if repeated.limit(1).count():  # rows of one id are one document
-        one = rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        one = rest.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+        one = one.select("row.*")  # the smallest, so that reruns agree
         rest = rest.join(repeated, "doc_id", "left_anti").unionByName(one)
     return rest.select(*COLUMNS)
 
