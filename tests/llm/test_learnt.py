@@ -372,6 +372,53 @@ def test_scores(spark):
             assert x.base_score == pytest.approx(base) and -1e6 < x.score < 0
 
 
+def test_score_is_the_sum_over_all_paths(spark, monkeypatch):
+    pieces = [b" a", b"a", b"b", b"ab", b" ab", b"ba"]
+    prior = np.log(np.array([0.1, 0.2, 0.2, 0.25, 0.15, 0.1]) * (1 - BYTE_MASS))
+    monkeypatch.setattr(lm_score, "load_pieces", lambda path: (pieces, prior))
+
+    def paths(w):
+        """(probability, pieces) of every segmentation of the bytes w."""
+        if not w:
+            return [(1.0, ())]
+        out = [(BYTE_MASS / 256 * x, used) for x, used in paths(w[1:])]
+        for k, piece in enumerate(pieces):
+            if w.startswith(piece):
+                out += [(p[k] * x, (k, *used)) for x, used in paths(w[len(piece) :])]
+        return out
+
+    texts = ["ab ba ab abba", "a AB b ab", "abab ba", "bb ab abba x", "", None]
+    rows = list(enumerate(texts))
+    learn = [0, 1, 4]
+    words = [(t or "").lower().split() for t in texts]
+    c = Counter(w for i in learn for w in words[i])
+    p = np.exp(prior)
+    e = np.zeros(len(pieces))
+    for w in c:  # each word once
+        found = paths(b" " + w.encode())
+        total = sum(x for x, _ in found)
+        for x, used in found:
+            for k in used:
+                e[k] += x / total
+    p = (e + lm_score.PRIOR * np.exp(prior)) / (e.sum() + lm_score.PRIOR * np.exp(prior).sum()) * (1 - BYTE_MASS)
+    n, ends = sum(c.values()), len(learn)
+    stop = (ends + 0.5) / (n + ends + 1)
+
+    def score(ws):
+        total = math.log10(stop)
+        for w in ws:
+            spelt = lm_score.DISCOUNT * len(c) / n * sum(x for x, _ in paths(b" " + w.encode()))
+            total += math.log10((1 - stop) * (max(c[w] - lm_score.DISCOUNT, 0) / n + spelt))
+        return total
+
+    got = lm_score.score(documents(spark, rows), learn=F.col("doc_id").isin(learn)).collect()
+    want = {i: score(ws) for i, ws in enumerate(words)}
+    assert {x.doc_id: x.score for x in got} == pytest.approx(want, rel=1e-6)
+    p = np.exp(prior)
+    plain = {i: sum(math.log10(sum(x for x, _ in paths(b" " + w.encode()))) for w in ws) for i, ws in enumerate(words)}
+    assert {x.doc_id: x.lattice_score for x in got} == pytest.approx(plain, rel=1e-6)
+
+
 def test_scores_without_rows_or_learning(spark):
     assert lm_score.score(nothing(spark)).count() == 0
     got = lm_score.score(documents(spark, [(1, "hello world"), (2, None)]), learn=F.lit(False)).collect()

@@ -125,12 +125,16 @@ class Lattice:
                 raw = np.frombuffer(b"".join(b" " + words[i] for i in at), dtype=np.uint8)
                 yield at, raw.reshape(len(at), n).astype(np.uint64), n
 
-    def log_prob(self, words: list[bytes]) -> np.ndarray:
-        """Natural logarithm of each word's marginal probability."""
+    def log_prob(self, words: list[bytes], whole: np.ndarray | None = None, spelt: float = 0.0) -> np.ndarray:
+        """Natural logarithm of each word's marginal probability.
+
+        ``whole`` gives each word's lattice one more arc, from its start to its end,
+        with this logarithm; paths of pieces then begin with an arc of ``spelt``.
+        """
         out = np.zeros(len(words))
         for at, w, n in self._batches(words):
             out[at] = self._forward(self._arcs(w), len(at), n)[:, n]
-        return out
+        return out if whole is None else np.logaddexp(whole, spelt + out)
 
     def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
         """How often each piece is expected in ``counts`` occurrences of the words."""

@@ -21,7 +21,7 @@ COMMON_BYTES = 48
 HELD = 200_000
 DISCOUNT = 0.75
 PRIOR = 200.0  # pieces that the vocabulary's own scores are worth
-PASSES = 3
+PASSES = 1
 
 
 def _count(batches):
@@ -65,22 +65,22 @@ def _expect(model):
     return run
 
 
-def _spell(model, stats):
+def _spell(model, plain, stats):
     def run(batches):
-        lattice = Lattice(*model.value)
+        lattice, given = Lattice(*model.value), Lattice(*plain.value)
         n, v, words_n, words_v, stop = stats
         other = DISCOUNT * words_v / words_n if words_n else 1.0
         for b in batches:
             ws = b.column("word").cast(pa.binary()).to_pylist()
             c = b.column("c").to_numpy().astype(np.float64)
-            spelt = np.log(other) + lattice.log_prob(ws)
             with np.errstate(divide="ignore"):
                 whole = np.log(np.maximum(c - DISCOUNT, 0.0) / max(words_n, 1))
-            p = (np.logaddexp(spelt, whole) + np.log1p(-stop)) / np.log(10.0)
+            p = (lattice.log_prob(ws, whole, np.log(other)) + np.log1p(-stop)) / np.log(10.0)
+            q = given.log_prob(ws) / np.log(10.0)
             base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
             yield pa.RecordBatch.from_arrays(
-                [b.column("word"), b.column("n"), b.column("c"), pa.array(base), pa.array(p)],
-                names=["word", "n", "c", "base", "p"],
+                [b.column("word"), b.column("n"), b.column("c"), pa.array(base), pa.array(p), pa.array(q)],
+                names=["word", "n", "c", "base", "p", "q"],
             )
 
     return run
@@ -88,9 +88,9 @@ def _spell(model, stats):
 
 def _score(common):
     def run(batches):
-        number, c, base, p = common.value
+        number, c, base, p, q = common.value
         for b in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             for text in b.column("text").cast(pa.binary()).to_pylist():
                 tf = Counter(text.lower().split()) if text else Counter()
                 at = np.fromiter(map(number.get, tf, repeat(-1)), dtype=np.int64, count=len(tf))
@@ -101,8 +101,9 @@ def _score(common):
                 out[1].append(int(k[c[i] > 0].sum()))
                 out[2].append(float(base[i] @ k))
                 out[3].append(float(p[i] @ k))
-                out[4].append([w for w, x in zip(tf, at, strict=True) if x < 0])
-                out[5].append(n[~known].tolist())
+                out[4].append(float(q[i] @ k))
+                out[5].append([w for w, x in zip(tf, at, strict=True) if x < 0])
+                out[6].append(n[~known].tolist())
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("uid"),
@@ -112,10 +113,11 @@ def _score(common):
                     pa.array(out[1], pa.int64()),
                     pa.array(out[2], pa.float64()),
                     pa.array(out[3], pa.float64()),
-                    pa.array(out[4], pa.list_(pa.binary())).cast(pa.list_(pa.string())),
-                    pa.array(out[5], pa.list_(pa.int64())),
+                    pa.array(out[4], pa.float64()),
+                    pa.array(out[5], pa.list_(pa.binary())).cast(pa.list_(pa.string())),
+                    pa.array(out[6], pa.list_(pa.int64())),
                 ],
-                names=["uid", "id", "learn", "n", "known", "base", "p", "rare", "rare_n"],
+                names=["uid", "id", "learn", "n", "known", "base", "p", "q", "rare", "rare_n"],
             )
 
     return run
@@ -132,12 +134,14 @@ def score(
 
     Tokens are words (runs of other than blanks, A-Z lower-cased) and one end. The
     model: a token is the end with the share that ends have among the tokens learnt;
-    else a word, which is one arc by itself with its discounted share among the words
-    learnt, or is spelt by pieces. Spelling has the probability of all segmentations
-    into pieces of an existing vocabulary, by the forward recursion. Piece
-    probabilities start as the vocabulary's scores say, and are re-estimated on all
-    words learnt, each once (as spelling is for words seen rarely or never), with the
-    start as prior; the pieces themselves stay as they are.
+    else a word, whose probability is the sum over all paths of its lattice, by the
+    forward recursion in logarithms. Its arcs are the pieces of an existing vocabulary,
+    and one that spans the whole word, with the word's discounted share among the words
+    learnt (the discounts go to the paths of pieces). Piece probabilities start as the
+    vocabulary's scores say, and are re-estimated PASSES times on all words learnt,
+    each once (as spelling is for words seen rarely or never), with the start as prior;
+    the pieces themselves stay as they are. lattice_score is the same without the
+    corpus: the marginal probability of the words by the vocabulary's own scores.
 
     ``learn`` marks the rows to learn from (all if not given). Words are counted by
     task, then over all; spelling is done once for each distinct word. The COMMON
@@ -145,7 +149,7 @@ def score(
     their words by a join, so nothing that grows with the corpus is sent to a task.
 
     Returns ``id_col``, learn, n_tokens, n_known (tokens that were learnt),
-    train_tokens, base_score and score; one row for each row. Null or empty text: the
+    train_tokens, base_score, score and lattice_score; one row for each row. Null or empty text: the
     end alone. Null ids and repeated rows pass through. If nothing is learnt, words
     are spelt by the vocabulary's scores. An empty table gives an empty result.
     """
@@ -174,10 +178,10 @@ def score(
             e[r.piece] = r.e
         q = (e + PRIOR * np.exp(prior)) / (e.sum() + PRIOR * np.exp(prior).sum())
         logp = np.round(np.log(q) + np.log1p(-BYTE_MASS), 9)
-    model = spark.sparkContext.broadcast((pieces, logp))
+    model, plain = spark.sparkContext.broadcast((pieces, logp)), spark.sparkContext.broadcast((pieces, prior))
     stats = (n, v, words_n, words_v, stop)
     valued = cut(
-        vocab.transform(arrow, _spell(model, stats), "word string, n long, c long, base double, p double"),
+        vocab.transform(arrow, _spell(model, plain, stats), "word string, n long, c long, base double, p double, q double"),
         "values",
     )
 
@@ -194,29 +198,30 @@ def score(
     top = valued.filter(often).toArrow()
     number = {w: i for i, w in enumerate(top["word"].cast(pa.binary()).to_pylist())}
     common = spark.sparkContext.broadcast(
-        (number, top["c"].to_numpy(), top["base"].to_numpy(), top["p"].to_numpy())
+        (number, top["c"].to_numpy(), top["base"].to_numpy(), top["p"].to_numpy(), top["q"].to_numpy())
     )
     del top, number
 
     fields = "uid long, id " + t.schema["id"].dataType.simpleString() + (
-        ", learn boolean, n long, known long, base double, p double, rare array<string>, rare_n array<long>"
+        ", learn boolean, n long, known long, base double, p double, q double, rare array<string>, rare_n array<long>"
     )
     rows = t.withColumn("uid", F.monotonically_increasing_id())
     rows = cut(rows.transform(arrow, _score(common), fields), "scored")
     rare = rows.select("uid", F.explode(F.arrays_zip("rare", "rare_n")).alias("r"))
     rare = rare.select("uid", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("k"))
     rest = (
-        rare.join(valued.filter(~often).select("word", "c", "base", "p"), "word")
+        rare.join(valued.filter(~often).select("word", "c", "base", "p", "q"), "word")
         .groupBy("uid")
         .agg(
             F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known_"),
             F.sum(F.col("k") * F.col("base")).alias("base_"),
             F.sum(F.col("k") * F.col("p")).alias("p_"),
+            F.sum(F.col("k") * F.col("q")).alias("q_"),
         )
     )
     out = rows.drop("rare", "rare_n").join(rest, "uid", "left")
     end_base = float(np.log10((ends + 0.5) / (n + 0.5 * (v + 1))))
-    more = {c: F.coalesce(c, F.lit(0)) for c in ("known_", "base_", "p_")}
+    more = {c: F.coalesce(c, F.lit(0)) for c in ("known_", "base_", "p_", "q_")}
     return out.select(
         F.col("id").alias(id_col),
         "learn",
@@ -225,6 +230,7 @@ def score(
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + more["base_"] + end_base).alias("base_score"),
         (F.col("p") + more["p_"] + float(np.log10(stop))).alias("score"),
+        (F.col("q") + more["q_"]).alias("lattice_score"),
     )
 
 
@@ -239,4 +245,5 @@ def query(spark, sf_dir: str) -> DataFrame:
         "train_tokens",
         "base_score",
         "score",
+        "lattice_score",
     )
