@@ -92,4 +92,4 @@ def forward_anomalies(bars: DataFrame, horizon: int, limit: float) -> DataFrame:
     worst = F.max(F.struct("step", (-F.unix_date("session_date")).alias("neg"))).over(span)
     x = x.withColumn("fwd", F.lead("close", horizon).over(w) / F.col("close") - 1).withColumn("worst", worst)
     x = x.filter((F.col("close") > 0) & (F.abs("fwd") > limit))
-    return x.select("security_id", "session_date", "fwd", F.date_from_unix_date(-F.col("worst.neg")).alias("culprit"))
+    return x.select("security_id", "session_date", "fwd", F.date_from_unix_date(-F.col("worst.neg")).alias("culprit"), F.col("worst.step").alias("worst_move"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import explain, feeds, groups, portfolio, scoring, series, texts
+from . import explain, feeds, groups, portfolio, repair, scoring, series, texts
 
-FAMILIES = (scoring, series, portfolio, texts, groups, feeds, explain)
+FAMILIES = (scoring, series, portfolio, texts, groups, feeds, explain, repair)
 ALL = {name: pair for family in FAMILIES for name, pair in family.QUERIES.items()}
 
 
