@@ -77,18 +77,6 @@ def fundamentals(spark, d):
     return out.select("id", "periods", *[F.round(c, 8).alias(c) for c in ("growth", "margin_trend", "margin")])
 
 
-def fundamental_health(spark, d):
-    """Mean of five blended sub-scores, missing ones as zero; null under three."""
-    f = G.fundamentals(G.last_facts(_facts(spark, d), "id", "period", ["filed"], 5), "id", 5)
-    sec = xsec.scopes(fr.securities(spark, d).select("security_id", "cohort", "parent", "balance"))
-    x = sec.join(f.withColumnRenamed("id", "security_id"), "security_id", "left")
-    x = x.select("security_id", "cohort", "parent", "cohort_n", "parent_n", "growth", "margin_trend", "margin", F.when(F.col("balance") > 5000, F.col("balance")).alias("cash"), F.lit(None).cast("double").alias("roic"))
-    long = x.unpivot(["security_id", "cohort", "parent", "cohort_n", "parent_n"], ["growth", "margin_trend", "margin", "cash", "roic"], "leg", "x")
-    z = xsec.blended_zscores(long)
-    g = z.groupBy("security_id").agg(F.sum(F.coalesce("z", F.lit(0.0))).alias("s"), F.count("z").alias("n"))
-    return g.select("security_id", F.col("n").alias("available"), F.round(F.when(F.col("n") >= 3, F.col("s") / 5), 6).alias("health"))
-
-
 _FACTS = """facts AS (SELECT l_suppkey AS id, year(l_shipdate) AS period, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS filed,
   sum(l_extendedprice) AS revenue, sum(l_extendedprice * (0.5 - l_discount)) AS profit FROM lineitem GROUP BY ALL),
 one AS (SELECT * FROM facts QUALIFY row_number() OVER (PARTITION BY id, period ORDER BY filed DESC) = 1),
@@ -276,14 +264,6 @@ SELECT user_id, round(least(1.0, greatest(-1.0, coalesce(least(1.0, greatest(0.0
   FROM orders WHERE DATE '2001-06-30' - CAST(o_orderdate AS DATE) BETWEEN 0 AND 700 GROUP BY 1)
 SELECT c_custkey AS id, round(CASE WHEN c_acctbal > 0 THEN coalesce(s, 0) / (c_acctbal * 1000) END, 8) AS smart_money FROM customer LEFT JOIN t ON c_custkey = id"""),
     "fundamental_facts": (fundamentals, f"WITH {_FACTS} SELECT id, periods, round(growth, 8) AS growth, round(margin_trend, 8) AS margin_trend, round(margin, 8) AS margin FROM fund"),
-    "fundamental_health": (fundamental_health, f"""WITH {fr.SECURITIES}, {_FACTS}, n AS (SELECT security_id, cohort, parent, balance, count(*) OVER (PARTITION BY cohort) AS cn, count(*) OVER (PARTITION BY parent) AS pn FROM sec),
-l AS (SELECT security_id, cohort, parent, cn, pn, unnest(['growth', 'margin_trend', 'margin', 'cash']) AS leg, unnest([growth, margin_trend, margin, CASE WHEN balance > 5000 THEN balance END]) AS x FROM n LEFT JOIN fund ON id = security_id),
-s AS (SELECT *, avg(x) OVER c AS cm, stddev_pop(x) OVER c AS cs, count(x) OVER c AS cc, avg(x) OVER p AS pm, stddev_pop(x) OVER p AS ps, count(x) OVER p AS pc, avg(x) OVER u AS um, stddev_pop(x) OVER u AS us, count(x) OVER u AS uc
-  FROM l WINDOW c AS (PARTITION BY leg, cohort), p AS (PARTITION BY leg, parent), u AS (PARTITION BY leg)),
-k AS (SELECT *, CASE WHEN x IS NOT NULL AND cc >= 2 AND cs > 0 THEN cn / (cn + 12.0) ELSE 0 END AS kc, CASE WHEN x IS NOT NULL AND pc >= 2 AND ps > 0 THEN (1 - cn / (cn + 12.0)) * (pn / (pn + 12.0)) ELSE 0 END AS kp,
-  CASE WHEN x IS NOT NULL AND uc >= 2 AND us > 0 THEN (1 - cn / (cn + 12.0)) * (1 - pn / (pn + 12.0)) ELSE 0 END AS ku FROM s),
-z AS (SELECT security_id, CASE WHEN kc + kp + ku > 0 THEN (CASE WHEN kc > 0 THEN kc * (x - cm) / cs ELSE 0 END + CASE WHEN kp > 0 THEN kp * (x - pm) / ps ELSE 0 END + CASE WHEN ku > 0 THEN ku * (x - um) / us ELSE 0 END) / (kc + kp + ku) END AS z FROM k)
-SELECT security_id, count(z) AS available, round(CASE WHEN count(z) >= 3 THEN sum(coalesce(z, 0)) / 5 END, 6) AS health FROM z GROUP BY 1"""),
     "policy_actions": (policy_actions, _decide_sql()),
     "trade_costs": (trade_costs, f"""WITH {_CTX} SELECT security_id, round(cost, 6) AS cost, round(target_weight, 6) AS target_weight,
   CAST(CASE WHEN floor(notional) < 10 THEN floor(notional) ELSE floor(floor(notional) / pow(10.0, floor(log10(floor(notional))) - 1) + 0.5) * pow(10.0, floor(log10(floor(notional))) - 1) END AS BIGINT) AS band FROM x"""),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import explain, feeds, groups, portfolio, repair, scoring, series, texts
+from . import explain, feeds, groups, portfolio, repair, scoring, series, study, texts, valuation
 
-FAMILIES = (scoring, series, portfolio, texts, groups, feeds, explain, repair)
+FAMILIES = (scoring, series, portfolio, texts, groups, feeds, explain, repair, valuation, study)
 ALL = {name: pair for family in FAMILIES for name, pair in family.QUERIES.items()}
 
 
