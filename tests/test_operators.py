@@ -3,10 +3,12 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import groups, integrity, ledger, perf, policy, sessions, texts, xsec
+from tidemark.operators import groups, integrity, ledger, perf, policy, repair, sessions, texts, xsec
+from tidemark.plans import repair as plan_repair
 from tidemark.plans import texts as plan_texts
 from tidemark.streaming import ingest
 
@@ -142,6 +144,77 @@ def test_groups_are_connected_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7}
 
 
+def test_groups_and_chains_of_any_length(spark, monkeypatch):
+    path = spark.createDataFrame([(i, i + 1) for i in range(1000)], "a int, b int")
+    assert {r.label for r in groups.linked_groups(path).collect()} == {0}
+    monkeypatch.setattr("tidemark.operators.components.CHUNK", 100)
+    assert {r.label for r in groups.linked_groups(path.union(spark.createDataFrame([(5000, 5001)], path.schema))).collect()} == {0, 5000}
+    rows = [(str(i), str(i - 1) if i else None, 7.0 if i == 0 else None) for i in range(1000)] + [("x", "y", None), ("y", "x", None), ("z", "x", None)]
+    got = {r.id: r.fees for r in ledger.inherited(spark.createDataFrame(rows, "id string, corrects string, fees double"), "fees").collect()}
+    assert got == {str(i): 7.0 for i in range(1000)} | {"x": None, "y": None, "z": None}
+
+
+def test_wide_fractions_and_tests_by_parts(spark):
+    r = random.Random(3)
+    rows = [(i, f"g{i % 2}", None if i % 17 == 0 else round(r.random() ** 3, 2 if i % 3 else 6)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id int, g string, x double")
+    plain = df.withColumn("f", xsec.percentile_fraction("x", ["g"]))
+    want = {x.id: x.f for x in plain.collect()}
+    got = {x.id: x.f for x in xsec.wide_fraction(df, "x", ("g",), "f").collect()}
+    assert got == pytest.approx(want)
+    p = sorted((x, i) for i, g, x in rows if g == "g0" and x is not None)
+    q, last, m = {}, 0, len(p)
+    for k in range(m, 0, -1):
+        q[p[k - 1][1]] = min(1.0, p[k - 1][0] * m / k, q[p[k][1]] if k < m else 1.0)
+        last = max(last, k if p[k - 1][0] <= k / m * 0.05 else 0)
+    got = {x.id: x for x in perf.benjamini_hochberg(df.filter("g = 'g0'"), "x", ["g"], "id").collect()}
+    assert {i: x.q for i, x in got.items()} == pytest.approx(q)
+    assert {i for i, x in got.items() if x.significant} == {i for _, i in p[:last]} and last
+
+
+def test_correlations_by_blocks(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(s, d, r.gauss(0, 1)) for s in range(30) for d in range(25) if r.random() < 0.95]
+    df = spark.createDataFrame(rows, "s long, d int, x double")
+    one = {(x.a, x.b): (x.n, x.r) for x in groups.pair_correlations(df, "s", "d", "x").collect()}
+    monkeypatch.setattr(groups, "BLOCK", 4)
+    many = {(x.a, x.b): (x.n, x.r) for x in groups.pair_correlations(df, "s", "d", "x").collect()}
+    by = {(s, d): x for s, d, x in rows}
+    for a in range(30):
+        for b in range(a + 1, 30):
+            both = [(by[a, d], by[b, d]) for d in range(25) if (a, d) in by and (b, d) in by]
+            if len(both) >= 20:
+                assert one[a, b][0] == many[a, b][0] == len(both)
+                assert one[a, b][1] == pytest.approx(np.corrcoef(*zip(*both, strict=True))[0, 1]) == pytest.approx(many[a, b][1])
+
+
+def test_a_second_repair_rewrites_no_verified_series(spark):
+    again = repair.plan(repair.applied(plan_repair._plan(spark, SF).filter("codes_now[0] <> 'DUPLICATE_BAR' OR size(codes_now) = 0"), 1), plan_repair.HORIZONS)
+    assert again.filter("new_adjusted IS NOT NULL AND verified").count() == 0
+
+
+def test_sections_against_every_pair_of_places():
+    r = random.Random(0)
+    lines = {
+        "10-K": ["Item 1. Business", "Item 1A. Risk Factors", "Item 7. Management's Discussion of things", "Item 2. Properties"],
+        "10-Q": ["Item 2. Management's discussion", "Results of Operations", "Item 1A. Risk factors", "Item 3. q"],
+        "S-1": ["Business", "Risk Factors", "Use of Proceeds", "Item 4. z"],
+    }
+    for _ in range(600):
+        form = r.choice(list(lines))
+        body = "\n".join(r.choice(lines[form]) if r.random() < 0.4 else "w" * r.randint(1, 9) for _ in range(r.randint(1, 14)))
+        starts = sorted((m.start(), i) for i, ps in texts.HEADINGS[form].items() for p in ps for m in re.finditer(p, body, re.I | re.M))
+        ends = {m.start() for m in re.finditer(r"^\s*item\s*\d+[a-z]?\.?", body, re.I | re.M)} | {len(body)} | ({a for a, _ in starts} if form == "S-1" else set())
+        longest = {}
+        for a, i in starts:
+            found = body[a : min(e for e in ends if e > a)]
+            if i not in longest or len(found.strip()) > len(longest[i][1].strip()):
+                longest[i] = (a, found)
+        a, found = longest.get("mda", (0, ""))
+        want = [(i, x.strip()) for i, (b, x) in sorted(longest.items(), key=lambda x: x[1][0]) if not (i == "results_of_operations" and a <= b < a + len(found))]
+        assert texts.sections_of(form, body) == want
+
+
 def test_sections_skip_the_table_of_contents():
     text = "Item 1. Business\nItem 1A. Risk Factors\nItem 1. Business\nwe make things\nItem 1A. Risk Factors\nfire, water\nItem 2. Properties\nnone"
     assert texts.sections_of("10-K", text) == [("item_1_business", "Item 1. Business\nwe make things"), ("item_1a_risk_factors", "Item 1A. Risk Factors\nfire, water")]

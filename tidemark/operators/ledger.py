@@ -15,19 +15,20 @@ def effective(events: DataFrame, ident: str = "id", corrects: str = "corrects")
     return events.join(gone, ident, "left_anti")
 
 
-def inherited(events: DataFrame, value: str, ident: str = "id", corrects: str = "corrects", rounds: int = 6) -> DataFrame:
+def inherited(events: DataFrame, value: str, ident: str = "id", corrects: str = "corrects") -> DataFrame:
     """``events`` with ``value`` taken from the nearest corrected event that has it.
 
     Pointer doubling: each round the rows that still lack a value look at the row they
-    point to, and take its value or its pointer, so 2 ** rounds steps of a chain are
-    covered. A cycle gives null, as there is nothing to find in it. Rows that have a
-    value, or nowhere to look, take no part in the joins.
+    point to, and take its value or its pointer. A chain among n such rows has at most
+    n steps, so after log2(n) + 1 rounds only rows that lead into a cycle are left:
+    there is nothing to find in it, and they stay null. Rows that have a value, or
+    nowhere to look, take no part in the joins.
     """
     kind = events.schema[value].dataType
     state = events.select(F.col(ident).alias("_id"), F.col(value).alias("_v"), F.col(corrects).alias("_to"))
     state = checkpointed(state)
-    for _ in range(rounds):
-        lacks = F.col("_v").isNull() & F.col("_to").isNotNull()
+    lacks = F.col("_v").isNull() & F.col("_to").isNotNull()
+    for _ in range(state.filter(lacks).count().bit_length() + 1):
         todo, done = state.filter(lacks), state.filter(~lacks)
         far = state.select(F.col("_id").alias("_at"), F.col("_v").alias("_w"), F.col("_to").alias("_next"))
         moved = todo.join(far, F.col("_to") == F.col("_at"), "left").select("_id", F.col("_w").cast(kind).alias("_v"), F.col("_next").alias("_to"))

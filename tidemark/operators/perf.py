@@ -85,16 +85,37 @@ def drawdown(series: DataFrame, ret: str, keys: list[str], order: str) -> DataFr
     return g.select(*keys, F.when(F.col("n") >= 2, F.least(F.lit(0.0), F.col("worst"))).alias("max_drawdown"))
 
 
+#: Parts that the tests of a family are cut into before they are ranked.
+CUTS = 64
+
+
 def benjamini_hochberg(tests: DataFrame, p: str, keys: list[str], order: str, alpha: float = 0.05) -> DataFrame:
-    """Step-up adjusted values, and which are significant at ``alpha``."""
-    part = Window.partitionBy(*keys)
+    """Step-up adjusted values, and which are significant at ``alpha``.
+
+    A family may have as many tests as there are securities: these are cut into parts
+    by p (which lies in 0 to 1), ranked within each part, and what the other parts add
+    comes from their totals, CUTS rows a family.
+    """
     x = tests.filter(F.col(p).isNotNull())
-    x = x.withColumn("rank", F.row_number().over(part.orderBy(p, order))).withColumn("_m", F.count(F.lit(1)).over(part))
-    raw = F.col(p) * F.col("_m") / F.col("rank")
+    at = F.percentile_approx(p, F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)]), F.lit(10_000))
+    x = x.join(x.groupBy(*keys).agg(at.alias("_cuts")), keys)
+    x = x.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(p)))).drop("_cuts")
+    part = Window.partitionBy(*keys, "_part")
+    x = x.withColumn("_here", F.row_number().over(part.orderBy(p, order)))
+    family = Window.partitionBy(*keys)
+    sizes = x.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_t")).withColumn("_m", F.sum("_t").over(family))
+    sizes = sizes.withColumn("_below", F.sum("_t").over(family.orderBy("_part")) - F.col("_t")).drop("_t")
+    x = x.join(sizes, [*keys, "_part"]).withColumn("rank", F.col("_below") + F.col("_here"))
+    x = x.withColumn("_raw", F.col(p) * F.col("_m") / F.col("rank"))
+    fits = F.col(p) <= F.col("rank") / F.col("_m") * alpha
+    parts = x.groupBy(*keys, "_part").agg(F.min("_raw").alias("_least"), F.max(F.when(fits, F.col("rank"))).alias("_last"))
+    behind = family.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_later", F.min("_least").over(behind)).withColumn("_last", F.max("_last").over(family)).drop("_least")
+    x = x.join(parts, [*keys, "_part"])
     suffix = part.orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("q", F.least(F.lit(1.0), F.min(raw).over(suffix)))
-    last = F.max(F.when(F.col(p) <= F.col("rank") / F.col("_m") * alpha, F.col("rank"))).over(part)
-    return x.withColumn("significant", F.col("rank") <= F.coalesce(last, F.lit(0))).drop("_m")
+    x = x.withColumn("q", F.least(F.lit(1.0), F.min("_raw").over(suffix), F.col("_later")))
+    x = x.withColumn("significant", F.col("rank") <= F.coalesce("_last", F.lit(0)))
+    return x.drop("_m", "_part", "_here", "_below", "_raw", "_later", "_last")
 
 
 def newey_west(series: DataFrame, value: str, keys: list[str], order: str, horizon: int, z: float) -> DataFrame:

@@ -57,13 +57,24 @@ def as_of_join(left: DataFrame, right: DataFrame, key: str, at: str, value: str,
     return out.select(*cols, F.when(fresh, F.col("_last.v")).alias("as_of_value"), F.when(fresh, F.col("_last.d")).alias("as_of_date"))
 
 
+def numbered_days(calendar_: DataFrame, date: str = "session_date") -> DataFrame:
+    """Every day from the first session to the last, with the number of the last session by then.
+
+    One row for each day, however many securities there are: a table to look dates up in.
+    """
+    ends = calendar_.agg(F.min(date).alias("a"), F.max(date).alias("z"))
+    days = ends.select(F.explode(F.sequence("a", "z")).alias(date)).join(calendar_, date, "left")
+    w = Window.orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
+    return days.select(date, F.last("session_no", ignorenulls=True).over(w).alias("session_no"))
+
+
 def strictly_between(calendar_: DataFrame, rows: DataFrame, start: str, end: str) -> DataFrame:
-    """Sessions strictly inside (start, end): by session numbers of an as-of lookup."""
-    cal = calendar_.withColumn("_k", F.lit(1))
-    out = rows.withColumn("_k", F.lit(1))
-    at_start = as_of_join(out.withColumnRenamed(start, "session_date"), cal, "_k", "session_date", "session_no")
-    at_start = at_start.withColumnRenamed("session_date", start).withColumnRenamed("as_of_value", "_from").drop("as_of_date")
-    before_end = at_start.withColumn("session_date", F.date_sub(end, 1))
-    at_end = as_of_join(before_end, cal, "_k", "session_date", "session_no").withColumnRenamed("as_of_value", "_to")
+    """Sessions strictly inside (start, end): by the numbers of the last sessions up to both."""
+    days = numbered_days(calendar_)
+    top = F.broadcast(calendar_.agg(F.max("session_date").alias("_z")))
+    out = rows.crossJoin(top)
+    for at, name in ((F.col(start), "_from"), (F.date_sub(end, 1), "_to")):
+        look = days.select(F.col("session_date").alias("_day"), F.col("session_no").alias(name))
+        out = out.withColumn("_day", F.least(at, F.col("_z"))).join(look, "_day", "left").drop("_day")
     n = F.greatest(F.lit(0), F.coalesce("_to", F.lit(0)) - F.coalesce("_from", F.lit(0)))
-    return at_end.withColumn("between", n.cast("long")).drop("_k", "_from", "_to", "session_date", "as_of_date")
+    return out.withColumn("between", n.cast("long")).drop("_from", "_to", "_z")

@@ -80,18 +80,47 @@ def percentile_fraction(value: str, keys: list[str]):
     return F.when(F.col(value).isNotNull(), (below + ties / 2) / F.count(F.lit(1)).over(part))
 
 
+#: Parts that the values of a wide group are cut into before they are ranked.
+CUTS = 64
+
+
+def wide_fraction(rows: DataFrame, value: str, keys: tuple[str, ...], name: str) -> DataFrame:
+    """``rows`` with ``percentile_fraction`` as ``name``, for groups of any size.
+
+    Equal values are counted first; the distinct ones are cut into about CUTS parts at
+    approximate quantiles, and ranked within each part. The parts' totals, CUTS rows a
+    group, give what lies below. So no task sorts a whole group.
+    """
+    keys = list(keys)
+    some = rows.filter(F.col(value).isNotNull())
+    counts = some.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_k"))
+    at = F.percentile_approx(value, F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)]), F.lit(10_000))
+    cuts = counts.groupBy(*keys).agg(at.alias("_cuts"))
+    counts = counts.join(cuts, keys) if keys else counts.crossJoin(F.broadcast(cuts))
+    counts = counts.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    upto = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("_here", F.sum("_k").over(upto))
+    parts = counts.groupBy(*keys, "_part").agg(F.sum("_k").alias("_t"))
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    parts = parts.withColumn("_all", F.sum("_t").over(group))
+    parts = parts.withColumn("_below", F.sum("_t").over(group.orderBy("_part")) - F.col("_t"))
+    f = (F.col("_below") + F.col("_here") - F.col("_k") / 2) / F.col("_all")
+    out = counts.join(parts.drop("_t"), [*keys, "_part"]).select(*keys, value, f.alias(name))
+    return rows.join(out, [*keys, value], "left")
+
+
 def blended_percentiles(rows: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """``rows`` with percentile: 0 to 100, blended over the tiers, halves up."""
-    out = rows.withColumn("_all", F.lit(0))
+    out = wide_fraction(rows, value, keys, "_universe")
     top = bottom = F.lit(0.0)
     for tier, w in zip(TIERS, tier_weights(F.col("cohort_n"), F.col("parent_n")), strict=True):
-        by = [*keys, tier if tier != "universe" else "_all"]
-        out = out.withColumn(f"_{tier}", percentile_fraction(value, by))
+        if tier != "universe":
+            out = out.withColumn(f"_{tier}", percentile_fraction(value, [*keys, tier]))
         ok = F.col(f"_{tier}").isNotNull() & (w > 0)
         top += F.when(ok, w * F.col(f"_{tier}")).otherwise(0.0)
         bottom += F.when(ok, w).otherwise(0.0)
     out = out.withColumn("percentile", F.when(bottom > 0, half_up(F.round(100 * top / bottom, 9))))
-    return out.drop("_all", *[f"_{t}" for t in TIERS])
+    return out.drop(*[f"_{t}" for t in TIERS])
 
 
 def weighted(legs: DataFrame) -> DataFrame:

@@ -45,7 +45,8 @@ def attention(spark, d):
 def narrative(spark, d):
     e = _events(spark, d)
     claims = e.filter("event_type IN ('click', 'view')").withColumn("strength", F.col("k") / 1000.0)
-    g = e.groupBy("user_id").agg(F.sum("value").alias("v")).withColumn("v", F.round("v", 4)).withColumn("percentile", S.half_up(F.round(100 * xsec.percentile_fraction("v", []), 9)))
+    g = e.groupBy("user_id").agg(F.sum("value").alias("v")).withColumn("v", F.round("v", 4))
+    g = xsec.wide_fraction(g, "v", (), "f").withColumn("percentile", S.half_up(F.round(100 * F.col("f"), 9))).drop("f")
     out = G.narrative_premium(claims, g.select("user_id", "percentile"), "user_id")
     return out.select("user_id", F.round("narrative", 8).alias("narrative"))
 

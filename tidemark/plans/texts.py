@@ -25,13 +25,14 @@ def content_hashes(spark, d):
 
 
 def verified_excerpts(spark, d):
-    """Claims about each document: its own words, cut words, and words of its neighbour."""
+    """Claims about each document: its own words, cut words, and words of the one before it."""
     x = _docs(spark, d)
-    w = Window.partitionBy(F.pmod("doc_id", F.lit(64))).orderBy("doc_id")
     t = S.squeezed(F.col("text"))
+    before = x.select((F.col("doc_id") + 1).alias("doc_id"), F.substring(t, 1, 40).alias("_other"))
+    x = x.join(before, "doc_id", "left")
     claims = x.select(
         "doc_id", F.col("text").alias("source"),
-        F.array(F.substring(t, 5, 30), F.concat(F.substring(t, 1, 20), F.lit("...")), F.coalesce(F.lag(F.substring(t, 1, 40)).over(w), F.lit(""))).alias("claims"),
+        F.array(F.substring(t, 5, 30), F.concat(F.substring(t, 1, 20), F.lit("...")), F.coalesce("_other", F.lit(""))).alias("claims"),
     )
     claims = claims.select("doc_id", "source", F.posexplode("claims").alias("claim_no", "excerpt"))
     out = X.grounded(claims, "source", "excerpt")
@@ -73,11 +74,10 @@ def citations(spark, d):
 
 
 def packed_items(spark, d):
-    """What fits of each source's documents into a budget of tokens, at most three verbatim."""
-    x = _docs(spark, d, "source").select(
-        "source", "doc_id", F.greatest(F.lit(1), F.floor(F.char_length("text") / 4)).cast("long").alias("cost"), (F.pmod("doc_id", F.lit(4)) == 0).alias("verbatim")
-    )
-    return X.packed(x, "source", "doc_id", "cost", "verbatim", 20_000, 3).select("source", "doc_id", "kept")
+    """What fits of each conversation's turns into a budget of tokens, at most three verbatim."""
+    c = fr.read(spark, d, "conversations", "conv_id", "turn", "role", "text")
+    x = c.select("conv_id", "turn", F.greatest(F.lit(1), F.floor(F.char_length("text") / 4)).cast("long").alias("cost"), (F.col("role") == "assistant").alias("verbatim"))
+    return X.packed(x, "conv_id", "turn", "cost", "verbatim", 60, 3).select("conv_id", "turn", "kept")
 
 
 def top_scores(spark, d):
@@ -164,7 +164,7 @@ _SQ = f"trim(regexp_replace(text, '{_WS}', ' ', 'g'))"
 QUERIES = {
     "content_hashes": (content_hashes, "SELECT source, 'sha256:' || sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY ALL"),
     "verified_excerpts": (verified_excerpts, f"""WITH t AS (SELECT doc_id, {_SQ} AS t FROM documents),
-c AS (SELECT doc_id, t, unnest([0, 1, 2]) AS claim_no, unnest([substr(t, 5, 30), substr(t, 1, 20) || '...', coalesce(lag(substr(t, 1, 40)) OVER (PARTITION BY doc_id % 64 ORDER BY doc_id), '')]) AS x FROM t),
+c AS (SELECT t.doc_id, t.t, unnest([0, 1, 2]) AS claim_no, unnest([substr(t.t, 5, 30), substr(t.t, 1, 20) || '...', coalesce(substr(b.t, 1, 40), '')]) AS x FROM t LEFT JOIN t b ON b.doc_id + 1 = t.doc_id),
 e AS (SELECT doc_id, claim_no, t, trim(regexp_replace(x, '{_WS}', ' ', 'g')) AS e FROM c)
 SELECT doc_id, CAST(claim_no AS BIGINT) AS claim_no, CASE WHEN e <> '' AND contains(t, e) THEN e WHEN ends_with(e, '...') AND trim(substr(e, 1, length(e) - 3)) <> '' AND contains(t, trim(substr(e, 1, length(e) - 3))) THEN trim(substr(e, 1, length(e) - 3)) END AS verified FROM e"""),
     "filing_text": (filing_text, None),
@@ -172,7 +172,10 @@ SELECT doc_id, CAST(claim_no AS BIGINT) AS claim_no, CASE WHEN e <> '' AND conta
     "latest_turns": (latest_turns, "SELECT conv_id, turn, role, length(text) AS n_chars FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1"),
     "citation_checks": (citations, r"""WITH a AS (SELECT conv_id, turn, regexp_extract_all(text || ' [cite:' || turn || '] and [cite:' || (conv_id % 7) || ']', '\[cite:([^\]]+)\]', 1) AS m FROM conversations WHERE role = 'assistant')
 SELECT conv_id, turn, len(m) AS markers, coalesce(array_to_string(list_filter(m, lambda x: NOT list_contains(['1', '3', '5'], x)), ','), '') AS unresolved FROM a"""),
-    "packed_items": (packed_items, None),
+    "packed_items": (packed_items, """WITH RECURSIVE i AS (SELECT conv_id, turn, greatest(1, length(text) // 4) AS cost, role = 'assistant' AS v, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+r AS (SELECT conv_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS turn, CAST(60 AS BIGINT) AS left_, CAST(0 AS BIGINT) AS used, false AS kept FROM (SELECT DISTINCT conv_id FROM i)
+  UNION ALL SELECT i.conv_id, i.k, i.turn, left_ - CASE WHEN (NOT v OR used < 3) AND cost <= left_ THEN cost ELSE 0 END, used + CASE WHEN v AND used < 3 THEN 1 ELSE 0 END, (NOT v OR used < 3) AND cost <= left_ FROM r JOIN i ON i.conv_id = r.conv_id AND i.k = r.k + 1)
+SELECT conv_id, turn, kept FROM r WHERE k > 0"""),
     "top_scores": (top_scores, "SELECT s_suppkey, s_name, s_acctbal FROM supplier ORDER BY s_acctbal DESC, s_name LIMIT 4"),
     "movers": (movers, f"""WITH {fr.BARS}, c AS (SELECT security_id, session_date, round(close - lag(close) OVER (PARTITION BY security_id ORDER BY session_date), 6) AS change FROM bars),
 n AS (SELECT security_id, change FROM c WHERE session_date = DATE '1999-05-01' AND change <> 0)
@@ -187,5 +190,9 @@ SELECT day, n, errors, len(list_filter(range(DATE '2023-12-31', day + 1, INTERVA
     "reconciliation": (reconciliation, """SELECT DISTINCT doc_id, 'label' AS missing FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
 UNION ALL SELECT DISTINCT doc_id, 'document' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)"""),
     "attribution_counts": (attribution_counts, "SELECT o_orderstatus = 'F' AS followed, DATE '2001-08-01' - CAST(o_orderdate AS DATE) >= 180 AS mature, count(*) AS n FROM orders GROUP BY ALL"),
-    "rate_limit": (rate_limit, None),
+    "rate_limit": (rate_limit, """WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT user_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, []::TIMESTAMP[] AS seen, false AS allowed FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL SELECT e.user_id, e.k, e.event_id, CASE WHEN len(list_filter(seen, lambda t: t > ts - INTERVAL 2 DAY)) < 5 THEN list_append(list_filter(seen, lambda t: t > ts - INTERVAL 2 DAY), CAST(ts AS TIMESTAMP)) ELSE list_filter(seen, lambda t: t > ts - INTERVAL 2 DAY) END,
+    len(list_filter(seen, lambda t: t > ts - INTERVAL 2 DAY)) < 5 FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT event_id, user_id, allowed FROM r WHERE k > 0"""),
 }
