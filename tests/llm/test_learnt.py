@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import extract, langid, lm_score, near_dedup, passages, queries
-from tidemark.llm.components import components
 from tidemark.llm.dom import blocks
 from tidemark.llm.labelled_pages import labelled_pages
 from tidemark.llm.lattice import BYTE_MASS, Lattice
+from tidemark.operators.components import components
 
 from ..oracle import SF
 from .cases import documents, nothing, prose
@@ -120,7 +120,7 @@ def test_near_copies_without_rows_and_with_repeats(spark):
 
 @pytest.mark.parametrize("chunk", [100_000, 17])
 def test_components_of_chains_and_stars(spark, monkeypatch, chunk):
-    monkeypatch.setattr("tidemark.llm.components.CHUNK", chunk)
+    monkeypatch.setattr("tidemark.operators.components.CHUNK", chunk)
     edges = [(i, i + 1) for i in range(100, 140)] + [(500, k) for k in range(600, 640)] + [(640, 639), (1, 1)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(100, 141)} | {i: 500 for i in [500, *range(600, 641)]}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import partial
 from itertools import repeat
 
 import numpy as np
@@ -10,8 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.components import components
+
 from .common import PICKED, arrow, cut, table
-from .components import components
 
 #: Trees of the forest, and hashes of each: a tree sorts by its own hashes in order.
 TREES, DEPTH = 16, 6
@@ -425,7 +427,7 @@ def near_duplicates(
     texts = t.filter("id IS NOT NULL")
     sets = _pick_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")), words)
     links = cut(_confirm(pairs, sets, percent), "confirmed")
-    first = cut(components(links), "components")
+    first = cut(components(links, partial(cut, label="links")), "components")
 
     members = found.filter("b IS NULL").select(F.col("a").alias("id"), "region", "n")
     members = cut(_apart(members, first), "members")
@@ -455,7 +457,7 @@ def near_duplicates(
     own = cut(own.select("id", "rep"), "classes")
     versions = own.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
     versions = versions.filter("lo <> hi").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    whole = components(links.unionByName(versions))
+    whole = components(links.unionByName(versions), partial(cut, label="links"))
     own = own.join(whole.withColumnRenamed("node", "rep"), "rep", "left")
     own = own.groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     out = signed.select("id", "n").join(own, "id", "left")
@@ -484,7 +486,7 @@ def _apart(members: DataFrame, comps: DataFrame) -> DataFrame:
 
 def _across(wide: DataFrame, links: DataFrame, texts: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """Links between the components that are left of each region that was split."""
-    members = cut(_apart(wide, components(links)), "members")
+    members = cut(_apart(wide, components(links, partial(cut, label="links"))), "members")
     lone = cut(members.select("id").distinct().join(sets, "id", "left_anti"), "lone")
     if lone.limit(1).count():  # the first round gave them no partner
         sets = cut(sets.unionByName(_pick_sets(texts, lone, words)), "sets")
