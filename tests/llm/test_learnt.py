@@ -1,5 +1,6 @@
 """Operators that learn or estimate, against brute force and held-out rows."""
 
+import itertools
 import math
 import random
 import zlib
@@ -277,6 +278,53 @@ def test_extraction_of_unseen_layouts():
     assert right / total > 0.99
 
 
+def small_pages():
+    r = random.Random(31)
+    out = []
+    for html, main in labelled_pages(30, 77):
+        page = blocks(html)
+        lo = r.randrange(max(1, len(page) - 6))
+        page = page[lo : lo + 6]
+        if page:
+            out.append((page, [int(b.text in main) for b in page]))
+    return out
+
+
+def labelling_score(model, page, labels):
+    total = model.start[labels[0]]
+    for fs, y in zip(extract._features(page), labels, strict=True):
+        total += sum(model.weights.get(f, (0.0, 0.0))[y] for f in fs)
+    return total + sum(model.moves[a][b] for a, b in zip(labels, labels[1:], strict=False))
+
+
+def test_decoding_is_the_best_of_all_labellings():
+    model = extract.trained()
+    for page, _ in small_pages():
+        best = max(itertools.product((0, 1), repeat=len(page)), key=lambda ys: labelling_score(model, page, ys))
+        assert labelling_score(model, page, model.decode(page)) == pytest.approx(labelling_score(model, page, best))
+
+
+def test_fit_is_a_maximum_of_the_likelihood(monkeypatch):
+    monkeypatch.setattr(extract, "STEPS", 600)
+    pages = small_pages()
+    model = extract.Chain.fit(pages)
+
+    def objective(m):
+        total = 0.0
+        for page, labels in pages:
+            scores = [labelling_score(m, page, ys) for ys in itertools.product((0, 1), repeat=len(page))]
+            total += labelling_score(m, page, labels) - np.logaddexp.reduce(scores)
+        squares = sum(u * u + v * v for u, v in m.weights.values()) + sum(x * x for row in m.moves for x in row)
+        return total / len(pages) - extract.PENALTY * squares / 2
+
+    best, rng = objective(model), np.random.default_rng(5)
+    for _ in range(20):
+        moved = {f: (u + 0.05 * a, v + 0.05 * b) for (f, (u, v)), (a, b) in zip(model.weights.items(), rng.normal(size=(len(model.weights), 2)), strict=True)}
+        assert objective(extract.Chain(moved, model.moves, model.start)) < best
+        moves = [[x + 0.2 * rng.normal() for x in row] for row in model.moves]
+        assert objective(extract.Chain(model.weights, moves, model.start)) < best + 1e-4
+
+
 def test_leaf_blocks():
     page = blocks("<title>t</title><p>a<b>b</b>c&nbsp;&amp;lt; <br>d<li>x<p>y</li>1 < 2<script>s</scripty></script><div>z&eacute; <!-- c --> w</div><!-- open")
     assert [b.text for b in page] == ["abc &lt; d", "x", "y", "1 < 2", "zé w"]

@@ -17,13 +17,14 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![0-9A-Za-z_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![0-9A-Za-z_])",
     "ssn": r"(?<![0-9A-Za-z_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z_])",
+    "secret": r"(?<![0-9A-Za-z_])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|[0-9a-f]{32,64}+)(?![0-9A-Za-z_])",
 }
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "ssn")
+KINDS = (*BASE_KINDS, "iban", "ssn", "secret")
 #: Characters that any match of the kind holds: texts without them are not searched.
 NEEDS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
 #: Score of a confirmed span, and the words nearby that raise it by BONUS.
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3, "secret": 0.3}
 CONTEXT = {
     "email": "mail|contact|kontakt|correo|courriel",
     "ip": "ip|address|adresse|host|server|client",
@@ -31,6 +32,7 @@ CONTEXT = {
     "phone": "phone|tel|call|mobile|fax|anruf|appel",
     "iban": "iban|account|konto|compte|cuenta|bank",
     "ssn": "ssn|social security|security number|sozialversicherung",
+    "secret": "secret|token|api|key|password|passwort|credential",
 }
 BONUS = 0.4
 NEAR = 40
@@ -129,7 +131,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     again. Checks: Luhn for card numbers, mod 97 for bank accounts, number ranges
     for the others. A span's score is its kind's, plus BONUS if a context word
     stands within NEAR characters. Email, ip, card and phone spans stay whatever
-    their score; iban and ssn spans need ADDED_FROM.
+    their score; iban, ssn and secret (keys and tokens, told from other hexadecimal
+    runs by their context) spans need ADDED_FROM.
 
     Null or empty text: no spans. One row for each input row, in a single pass
     without a shuffle; null ids and repeated rows pass through.
@@ -169,6 +172,8 @@ def query(spark, sf_dir: str) -> DataFrame:
         *[_count(k).alias(f"n_{k}") for k in BASE_KINDS],
         F.sha2(_joined(F.filter(spans, lambda s: s["kind"].isin(*BASE_KINDS))), 256).alias("base_sha256"),
         _joined(spans).alias("spans"),
+        F.size(spans).cast("long").alias("n_spans"),
+        F.round(F.coalesce(F.array_max(F.transform(spans, lambda s: s["score"])), F.lit(0.0)), 2).alias("top_score"),
     )
 
 
@@ -181,6 +186,7 @@ def _sql() -> str:
         "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
         "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b",
         "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+        "secret": r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|[0-9a-f]{32,64})\b",
     }
     digits = "regexp_replace(value, '[^0-9]', '', 'g')"
     code = "replace(value, ' ', '')"
@@ -199,17 +205,17 @@ def _sql() -> str:
         "phone": f"length({digits}) BETWEEN 10 AND 15",
         "iban": f"{rest} = 1",
         "ssn": "NOT regexp_matches(value, '^(000|666|9)|-00-|-0000$')",
+        "secret": "true",
     }
     each = []
     for rank, kind in enumerate(KINDS):
-        more = ""
-        if kind not in BASE_KINDS:
-            more = (
-                f" AND {SCORES[kind]} + CASE WHEN regexp_matches(lower(substr(text, greatest(s - {NEAR}, 0) + 1, "
-                f"e - greatest(s - {NEAR}, 0) + {NEAR})), '{CONTEXT[kind]}') THEN {BONUS} ELSE 0 END >= {ADDED_FROM}"
-            )
+        score = (
+            f"least(1, {SCORES[kind]} + CASE WHEN regexp_matches(lower(substr(text, greatest(s - {NEAR}, 0) + 1, "
+            f"e - greatest(s - {NEAR}, 0) + {NEAR})), '{CONTEXT[kind]}') THEN {BONUS} ELSE 0 END)"
+        )
+        more = "" if kind in BASE_KINDS else f" AND score >= {ADDED_FROM}"
         each.append(
-            f"SELECT uid, {rank} AS rank, '{kind}' AS kind, s, e FROM (SELECT uid, text, value, "
+            f"SELECT uid, {rank} AS rank, '{kind}' AS kind, s, e, {score} AS score FROM (SELECT uid, text, value, "
             "list_sum(list_transform(gaps[1:i], lambda x: length(x))) + "
             "coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS s0, CAST(s0 AS BIGINT) AS s, "
             "s + length(value) AS e FROM (SELECT *, found[i] AS value FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i "
@@ -224,7 +230,8 @@ def _sql() -> str:
         f"x AS ({' UNION ALL '.join(each)}) "
         f"SELECT doc_id, {counts}, "
         f"sha256(coalesce(string_agg({one}, ',' ORDER BY s, rank) {base}, '')) AS base_sha256, "
-        f"coalesce(string_agg({one}, ',' ORDER BY s, rank), '') AS spans "
+        f"coalesce(string_agg({one}, ',' ORDER BY s, rank), '') AS spans, "
+        "count(kind) AS n_spans, CAST(round(coalesce(max(score), 0), 2) AS DOUBLE) AS top_score "
         "FROM d LEFT JOIN x USING (uid) GROUP BY uid, doc_id"
     )
 
