@@ -137,7 +137,7 @@ class Chain:
                 g = g / n
                 m[0] += 0.1 * (g - m[0])
                 m[1] += 0.01 * (g * g - m[1])
-                v += 0.15 * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-8)
+                v += 0.2 * (1 - step / (STEPS + 1)) * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-8)
             w[pad] = 0.0
         weights = {f: (float(w[i, 0]), float(w[i, 1])) for f, i in number.items()}
         return cls(weights, moves.tolist(), start.tolist())
