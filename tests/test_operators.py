@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import groups, integrity, ledger, perf, policy, repair, sessions, texts, xsec
 from tidemark.plans import repair as plan_repair
 from tidemark.plans import texts as plan_texts
+from tidemark.sources import sinks
 from tidemark.streaming import ingest
 
 from .oracle import SF
@@ -258,14 +259,35 @@ def test_stream_equals_one_batch(spark, tmp_path):
     for part in range(3):
         df.filter(F.col("v") % 3 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     ingest.stream_upserts(spark, str(tmp_path / "in"), df.schema, str(tmp_path / "out"), str(tmp_path / "cp"), "id", "at")
-    last = max((tmp_path / "out").iterdir(), key=lambda p: int(p.name.split("=")[1]))
-    got = {r.id: r.at for r in spark.read.parquet(str(last)).collect()}
+    got = {r.id: r.at for r in ingest.current(spark, str(tmp_path / "out")).collect()}
     want = {r.id: r.at for r in ingest.apply_batch(None, df, "id", "at").collect()}
     assert got == want
     again = ingest.apply_batch(ingest.apply_batch(None, df, "id", "at"), df, "id", "at")
     assert {r.id: r.at for r in again.collect()} == want
 
 
+def test_a_stream_rewrites_the_parts_that_it_touches(spark, tmp_path):
+    df = spark.createDataFrame([(f"k{n}", n, n) for n in range(200)], "id string, at int, v int")
+    df.filter("v < 190").coalesce(1).write.parquet(str(tmp_path / "in"))
+    go = lambda: ingest.stream_upserts(spark, str(tmp_path / "in"), df.schema, str(tmp_path / "out"), str(tmp_path / "cp"), "id", "at")
+    go()
+    df.filter("v = 195").withColumn("id", F.lit("k3")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    go()
+    assert len(list((tmp_path / "out" / "rows" / "version=1").glob("part=*"))) == 1
+    got = {r.id: r.v for r in ingest.current(spark, str(tmp_path / "out")).collect()}
+    assert got == {f"k{n}": n for n in range(190)} | {"k3": 195}
+
+
+def test_partitions_are_replaced_and_exports_have_a_digest(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", 1.0), (2, "a", 2.0), (3, "b", 3.0)], "id int, p string, v double")
+    at = str(tmp_path / "t")
+    sinks.replace_partitions(df, at, "p")
+    sinks.replace_partitions(df.filter("id = 2").withColumn("v", F.lit(9.0)), at, "p")
+    assert sorted((r.id, r.p, r.v) for r in spark.read.parquet(at).collect()) == [(2, "a", 9.0), (3, "b", 3.0)]
+    one, two = (sinks.export(df.repartition(n), str(tmp_path / f"e{n}"), ["id"]) for n in (1, 3))
+    assert one == two != sinks.export(df.limit(2), str(tmp_path / "e9"), ["id"])
+
+
 @pytest.mark.parametrize("which", ["windows", "dedupe"])
 def test_stateful_streams(spark, tmp_path, which):
     df = spark.createDataFrame([(dt.datetime(2024, 1, 1, h // 2), "a", 1.0) for h in range(12)], "ts timestamp, k string, value double")

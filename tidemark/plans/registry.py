@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import collect, explain, feeds, groups, keys, models, money, portfolio, repair, scoring, series, study, texts, valuation
+from . import collect, explain, feeds, groups, keys, lookups, models, money, portfolio, repair, scoring, series, study, texts, valuation
 
-FAMILIES = (scoring, series, portfolio, texts, groups, feeds, explain, repair, valuation, study, money, keys, models, collect)
+FAMILIES = (scoring, series, portfolio, texts, groups, feeds, explain, repair, valuation, study, money, keys, models, collect, lookups)
 ALL = {name: pair for family in FAMILIES for name, pair in family.QUERIES.items()}
 
 
