@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow, cut, table
@@ -120,8 +120,10 @@ def decontaminate(
     hits (merged word spans, end exclusive) and items (ids of the items with occurring
     windows, as strings, sorted). One row for each row of ``docs``, without a shuffle.
 
-    The windows are broadcast in blocks of at most BLOCK_BYTES of benchmark text,
-    and every document is searched for each block in turn.
+    The windows are broadcast in blocks of at most BLOCK_BYTES of benchmark text. One
+    block is searched for without a shuffle or a write. If there are more, the texts
+    are written once with what the first block finds; each further one reads them and
+    gives only the documents that it hits, which are joined in the end.
 
     Null or empty text: no words, no hits. Items without words have no windows. An
     item without an id marks hits but is not listed. Repeated items count once. An
@@ -136,11 +138,24 @@ def decontaminate(
         F.array().cast(_OUT).alias("hits"),
         F.array().cast("array<string>").alias("items"),
     )
-    schema = out.schema
     bench = bench.select(F.col(item_col).cast("string"), F.col(item_text_col))
-    for k, block in enumerate(_blocks(bench)):
-        index = spark.sparkContext.broadcast(WordIndex(block, window))
-        out = (cut(out, "searched") if k else out).transform(arrow, _searcher(index), schema)
+    blocks = _blocks(bench)
+    index = lambda block: spark.sparkContext.broadcast(WordIndex(block, window))
+    out = out.transform(arrow, _searcher(index(next(blocks))), out.schema)
+    more = []
+    for block in blocks:
+        if not more:
+            out = cut(out.withColumn("uid", F.monotonically_increasing_id()), "searched")
+        texts = out.select("uid", "text")
+        more.append(cut(texts.transform(arrow, _hitter(index(block)), f"uid long, hits {_OUT}, items array<string>"), "hits"))
+    if more:
+        found = more[0]
+        for x in more[1:]:
+            found = found.unionByName(x)
+        gathered = [F.flatten(F.collect_list(c)).alias(f"{c}_") for c in ("hits", "items")]
+        out = out.join(found.groupBy("uid").agg(*gathered), "uid", "left")
+        joined = {c: F.when(F.col(f"{c}_").isNull(), F.col(c)).otherwise(F.concat(c, f"{c}_")) for c in ("hits", "items")}
+        out = out.withColumns(joined).withColumn("items", F.array_sort(F.array_distinct("items"))).withColumn("hits", _merged(F.col("hits")))
     return out.select(
         F.col("id").alias(id_col),
         F.col("text").alias(text_col),
@@ -151,6 +166,42 @@ def decontaminate(
     )
 
 
+def _merged(hits: Column) -> Column:
+    """Spans in order, those that touch or overlap made one."""
+    empty = F.array().cast(_OUT)
+
+    def step(done: Column, h: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], h["end"]).alias("end"))
+        apart = (F.size(done) == 0) | (last["end"] < h["start"])
+        return F.when(apart, F.concat(done, F.array(h))).otherwise(F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer)))
+
+    return F.aggregate(F.array_sort(hits), empty, step)
+
+
+def _hitter(index):
+    """Only the documents that a block hits, with their spans and items."""
+
+    def run(batches):
+        search = index.value.search
+        for b in batches:
+            uids, hits, items = [], [], []
+            for uid, text in zip(b.column("uid").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                ws = words(text)
+                spans, found = search(ws) if ws else ([], set())
+                if spans:
+                    uids.append(uid)
+                    hits.append([{"start": s, "end": e} for s, e in spans])
+                    items.append(sorted(x for x in found if x is not None))
+            span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(uids, pa.int64()), pa.array(hits, pa.list_(span)), pa.array(items, pa.list_(pa.string()))],
+                names=["uid", "hits", "items"],
+            )
+
+    return run
+
+
 def _searcher(index):
     def run(batches):
         search = index.value.search
