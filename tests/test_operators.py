@@ -132,6 +132,39 @@ def test_allocation_keeps_to_its_budgets(spark):
         assert all(x.allocated == x.requested for x in got if x.portfolio == p and x.action == "SELL")
 
 
+def test_draws_at_once_are_those_one_by_one():
+    for seed in (0, 9, 2**64 - 5):
+        a, b = perf.SplitMix(seed), perf.SplitMix(seed)
+        assert a.draws(50).tolist() == [b.draw() for _ in range(50)]
+        bounds = np.array([1, 2, 3, 10, 2**63 + 1, 7])  # half of the draws are refused for the large one
+        assert a.below_each(bounds.astype(np.uint64)).astype(np.uint64).tolist() == [b.below(int(k)) for k in bounds]
+        assert a.shuffles(5, 9).tolist() == [b.shuffled(9) for _ in range(5)] and a.state == b.state
+
+
+def test_bootstrap_and_random_band_one_by_one(spark):
+    r = random.Random(8)
+    rows = [("s", i, r.gauss(0.1, 1)) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, d int, x double")
+    got = perf.bootstrap(df, "x", "k", "d", 3, replicates=60).first()
+    x, rng, means = [v for _, _, v in rows], perf.SplitMix(perf.seed_of("s:3")), []
+    for _ in range(60):
+        taken = [v for _ in range(14) for s in [rng.below(38)] for v in x[s : s + 3]][:40]
+        means.append(sum(taken) / 40)
+    assert (got.n, got.point) == (40, pytest.approx(sum(x) / 40))
+    assert [got.low, got.high] == pytest.approx(np.quantile(means, [0.025, 0.975]).tolist()) and got.se == pytest.approx(np.std(means, ddof=1))
+    got = perf.random_band(df, "x", "k", "d", replicates=30).first()
+    rank, rng = np.argsort(np.argsort(x)), perf.SplitMix(perf.seed_of("s"))
+    ics = [np.corrcoef(rng.shuffled(40), rank)[0, 1] for _ in range(30)]
+    assert [got.mean, got.std, got.p95] == pytest.approx([np.mean(ics), np.std(ics, ddof=1), np.quantile(np.abs(ics), 0.95)])
+
+
+def test_allocation_counts_what_is_held(spark):
+    fields = "p string, security_id long, action string, percentile int, direction string, requested double, cost double, weight double, cohort string, grp string, cohort_weight double, volatility double, daily_value double"
+    rows = [("p", 1, "BUY", 90, "STABLE", 8000.0, 10.0, 0.0, "c", None, 33.0, None, 1e9), ("p", 2, "BUY", 80, "STABLE", 2000.0, 10.0, 0.0, "d", None, None, None, 1e9)]
+    got = {x.security_id: (x.allocated, x.bound) for x in policy.allocate(spark.createDataFrame(rows, fields), "p").collect()}
+    assert got == {1: (pytest.approx(2000.0), "cohort"), 2: (2000.0, "")}
+
+
 def test_dedupe_keeps_the_last(spark):
     df = spark.createDataFrame([("a", 1, 5), ("a", 1, 7), ("b", 1, 2)], "k string, d int, id int")
     kept, lost = integrity.dedupe_bars(df, ("k", "d"), ("id",))

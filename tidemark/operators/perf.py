@@ -158,6 +158,37 @@ class SplitMix:
             pass
         return x % bound
 
+    def draws(self, count: int) -> np.ndarray:
+        """The next ``count`` draws at once: each is a function of its place alone."""
+        with np.errstate(over="ignore"):
+            z = np.uint64(self.state) + np.arange(1, count + 1, dtype=np.uint64) * np.uint64(self.GAMMA)
+            for shift, factor in ((30, self.A), (27, self.B)):
+                z = (z ^ z >> np.uint64(shift)) * np.uint64(factor)
+        self.state = (self.state + count * self.GAMMA) % 2**64
+        return z ^ z >> np.uint64(31)
+
+    def below_each(self, bounds: np.ndarray) -> np.ndarray:
+        """``below`` for one bound after another; drawn one by one only if a draw is refused."""
+        start, b = self.state, bounds.astype(np.uint64)
+        x = self.draws(len(b))
+        with np.errstate(over="ignore"):
+            refused = (np.uint64(0) - b) % b  # 2 ** 64 modulo the bound
+        if (x > np.uint64(2**64 - 1) - refused).any():
+            self.state = start
+            return np.array([self.below(int(k)) for k in bounds], dtype=np.int64)
+        return (x % b).astype(np.int64)
+
+    def shuffles(self, times: int, n: int) -> np.ndarray:
+        """``times`` results of ``shuffled``, one a row."""
+        swaps = self.below_each(np.tile(np.arange(n, 1, -1), times)).reshape(times, max(n - 1, 0))
+        out, row = np.tile(np.arange(n), (times, 1)), np.arange(times)
+        for k in range(n - 1):
+            last, other = n - 1 - k, swaps[:, k]
+            held = out[row, other]
+            out[row, other] = out[:, last]
+            out[:, last] = held
+        return out
+
     def shuffled(self, n: int) -> list[int]:
         out = list(range(n))
         for last in reversed(range(1, n)):
@@ -186,7 +217,7 @@ def bootstrap(series: DataFrame, value: str, key: str, order: str, horizon: int,
         size = min(max(horizon, 1), n)
         blocks = -(-n // size)
         rng = SplitMix(seed_of(f"{name}:{horizon}"))
-        starts = np.array([[rng.below(n - size + 1) for _ in range(blocks)] for _ in range(replicates)])
+        starts = rng.below_each(np.full(replicates * blocks, n - size + 1)).reshape(replicates, blocks)
         at = (starts[:, :, None] + np.arange(size)).reshape(replicates, -1)[:, :n]
         means = x[at].mean(1)
         low, high = np.quantile(means, [(1 - confidence) / 2, (1 + confidence) / 2])
@@ -196,6 +227,10 @@ def bootstrap(series: DataFrame, value: str, key: str, order: str, horizon: int,
     return series.filter(F.col(value).isNotNull()).groupBy(key).applyInPandas(run, f"{key} {kind}, n long, point double, low double, high double, se double")
 
 
+#: Numbers of random rankings that are held at once.
+HELD = 4_000_000
+
+
 def random_band(rows: DataFrame, ret: str, key: str, key_id: str, replicates: int = 200) -> DataFrame:
     """Rank correlations of seeded random rankings with each group's returns: mean, std, 95 % of |IC|."""
 
@@ -207,9 +242,12 @@ def random_band(rows: DataFrame, ret: str, key: str, key_id: str, replicates: in
         n, name = len(y), pdf[key].iloc[0]
         rng, ics = SplitMix(seed_of(str(name))), []
         dy = y - y.mean()
-        for _ in range(replicates if n >= 2 and dy.any() else 0):
-            d = np.array(rng.shuffled(n), dtype=float) - (n - 1) / 2
-            ics.append(float(d @ dy / np.sqrt((d @ d) * (dy @ dy))))
+        left = replicates if n >= 2 and dy.any() else 0
+        while left:
+            some = min(left, max(1, HELD // n))
+            d = rng.shuffles(some, n) - (n - 1) / 2
+            ics.extend(d @ dy / np.sqrt((d * d).sum(1) * (dy @ dy)))
+            left -= some
         if not ics:
             return pd.DataFrame({key: [name], "n": [n], "mean": [np.nan], "std": [np.nan], "p95": [np.nan]})
         return pd.DataFrame({key: [name], "n": [n], "mean": [np.mean(ics)], "std": [np.std(ics, ddof=1)], "p95": [np.quantile(np.abs(ics), 0.95)]})

@@ -128,6 +128,9 @@ def _allocate(trades, limits: Limits):
     cash = max(limits.cash - limits.reserve, 0.0) + float((sales.requested - sales.cost).clip(lower=0).sum())
     turnover = max(limits.total * limits.turnover / 100, 0.0)
     used: dict = {}
+    for kind, by, held in (("c", "cohort", "cohort_weight"), ("g", "grp", "group_weight")):
+        if held in trades:  # what the portfolio holds already
+            used |= {(kind, name): float(w) for name, w in zip(trades[by], trades[held], strict=True) if name is not None and w == w}
     out = {i: (float(r), "") for i, r in zip(trades.index, trades.requested, strict=True) if i not in buys.index}
     order = buys.assign(
         up=(buys.direction != "STRENGTHENING").astype(int), more=(buys.action != "BUY").astype(int)
@@ -168,6 +171,9 @@ def _allocate(trades, limits: Limits):
 def allocate(candidates: DataFrame, key: str, limits: Limits = Limits()) -> DataFrame:
     """Joint allocation of each portfolio's candidates; a portfolio is one group.
 
+    Columns cohort_weight and group_weight, if there are any, say how much (percent) of
+    a candidate's cohort and correlated group the portfolio holds at the start.
+
     The order matters and every trade changes what is left, so a portfolio's own
     trades are taken one after another; portfolios are independent.
     """

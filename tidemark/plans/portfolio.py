@@ -170,11 +170,17 @@ def post_run_assertions(spark, d):
 
 
 def joint_allocation(spark, d):
-    x = P.decide(_context(spark, d), "AGGRESSIVE").filter("action IN ('BUY', 'ADD', 'TRIM', 'SELL')")
+    """What each suggestion gets of its portfolio's budgets, given what is held of its cohort and group."""
+    group = F.pmod("security_id", F.lit(3))
+    x = P.decide(_context(spark, d), "AGGRESSIVE").withColumns({
+        "cohort": F.concat(F.lit("c"), F.pmod("security_id", F.lit(4)).cast("string")),
+        "grp": F.when(group > 0, F.concat(F.lit("g"), group.cast("string"))),
+    })
+    held = lambda by, name: x.filter("held").groupBy("portfolio", by).agg((F.sum("weight") / 20).alias(name))
+    x = x.filter("action IN ('BUY', 'ADD', 'TRIM', 'SELL')")
+    x = x.join(held("cohort", "cohort_weight"), ["portfolio", "cohort"], "left").join(held("grp", "group_weight"), ["portfolio", "grp"], "left")
     x = x.select(
-        "portfolio", "security_id", "action", "percentile", "direction", F.col("notional").alias("requested"), "cost", "weight",
-        F.concat(F.lit("c"), F.pmod("security_id", F.lit(4)).cast("string")).alias("cohort"),
-        F.when(F.pmod("security_id", F.lit(3)) > 0, F.concat(F.lit("g"), F.pmod("security_id", F.lit(3)).cast("string"))).alias("grp"),
+        "portfolio", "security_id", "action", "percentile", "direction", F.col("notional").alias("requested"), "cost", "weight", "cohort", "grp", "cohort_weight", "group_weight",
         (F.pmod("security_id", F.lit(7)) / 10.0).alias("volatility"), (F.col("notional") * 40).alias("daily_value"),
     )
     return P.allocate(x, "portfolio").select("portfolio", "security_id", "action", F.round("allocated", 4).alias("allocated"), "bound")
