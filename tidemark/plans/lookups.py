@@ -6,16 +6,20 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
+from tidemark.operators import ledger as L
 from tidemark.operators import lookups as U
 from tidemark.operators import sessions as N
+from tidemark.operators import valuation as V
+from tidemark.operators import xsec
 from tidemark.sources import decoders as D
 from tidemark.sources import frames as fr
 from tidemark.sources import sinks
 
 from .feeds import flattened_facts
+from .groups import VARIANTS, _variants_sql
+from .portfolio import _EV, _LOTS, _ORDER, _effective, _events
 from .series import _LONG, _RET, _ics
-from .valuation import _ST, _ratios, blended_sql
-from tidemark.operators import xsec
+from .valuation import _MU, _ST, _multiples, _ratios, blended_sql
 
 
 def prior_sessions(spark, d):
@@ -186,6 +190,58 @@ def short_titles(spark, d):
     return x.select("doc_id", F.sha2(S.truncated(F.substring_index("text", "\n", 1), 40), 256).alias("title"))
 
 
+def attention_texts(spark, d):
+    """How each user's activity of the last ten days compares with the ten before, with the three largest events."""
+    e = _events(spark, d).filter("age < 20 AND event_type <> 'error'").withColumn("recent", F.col("age") < 10)
+    g = e.groupBy("user_id").agg(F.sum(F.col("recent").cast("long")).alias("now"), F.sum((~F.col("recent")).cast("long")).alias("then"))
+    top = U.newest(e.filter("recent"), "user_id", 3, F.desc("value"), "event_id").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("place", "event_id"))).alias("e"))
+    word = F.when(F.col("now") > F.col("then"), "more than").when(F.col("now") < F.col("then"), "less than").otherwise("as much as")
+    x = g.join(top, "user_id", "left")
+    return x.select("user_id", F.concat(F.col("now"), F.lit(" events, "), word, F.lit(" before")).alias("text"), F.array_join(F.transform("e", lambda s: s["event_id"]), ",").alias("evidence"))
+
+
+def narrative_claims(spark, d):
+    """Kinds of what was claimed of each user, strongest first, and how old the newest claim is."""
+    e = _events(spark, d).filter("event_type IN ('click', 'signup', 'purchase')")
+    g = e.groupBy("user_id", "event_type").agg(F.max("value").alias("strength"), F.min("age").alias("age"))
+    x = g.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("strength")).alias("s"), F.col("event_type").alias("t")))).alias("k"), F.min("age").alias("newest_age"))
+    return x.select("user_id", F.array_join(F.transform("k", lambda c: c["t"]), ",").alias("kinds"), F.col("newest_age").cast("long").alias("newest_age"))
+
+
+def valuation_texts(spark, d):
+    """What the multiples say of each security against its peers."""
+    x = V.brake(V.signals(_multiples(spark, d))).withColumn("brake", F.round("brake", 6))
+    word = F.when(F.col("brake") > 0.5, "cheap").when(F.col("brake") < -0.5, "dear").otherwise("in line")
+    text = F.when(F.col("brake").isNull(), "no multiple can be ranked").otherwise(F.concat(word, F.lit(" by "), F.col("signals"), F.lit(" multiples")))
+    return x.select("security_id", text.alias("text"))
+
+
+def backfill_windows(spark, d):
+    """Months of a span that each security has no bar of: what a backfill is to fetch."""
+    months = F.sequence(F.lit("1995-01-01").cast("date"), F.lit("2001-12-01").cast("date"), F.expr("interval 1 month"))
+    b = fr.month_bars(spark, d).groupBy("security_id").agg(F.collect_set("session_date").alias("have"))
+    x = fr.securities(spark, d).select("security_id").join(b, "security_id", "left")
+    x = x.withColumn("gaps", F.array_except(months, F.coalesce("have", F.array().cast("array<date>")))).filter(F.size("gaps") > 0)
+    return x.select("security_id", F.size("gaps").cast("long").alias("n"), F.array_min("gaps").alias("first_gap"), F.array_max("gaps").alias("last_gap"))
+
+
+def registered_variants(spark, d):
+    """Each scoring variant's weights and a hash of them, whatever their order."""
+    rows = [(v, leg, float(w)) for v, by in VARIANTS.items() for leg, w in by.items()]
+    x = spark.createDataFrame(rows, "variant string, leg string, w double")
+    g = x.groupBy("variant").agg(F.count(F.lit(1)).alias("legs"), F.round(F.sum("w"), 6).alias("total"), F.array_sort(F.collect_list(F.format_string("%s=%.4f", "leg", "w"))).alias("p"))
+    return g.select("variant", "legs", "total", F.sha2(F.array_join("p", ","), 256).alias("fingerprint"))
+
+
+def current_projection(spark, d):
+    """Each ticker's open quantity, revalued at the last price, next to the mean of its seven last prices."""
+    e = _effective(spark, d)
+    lots = L.open_lots(e, ["owner", "ticker"], _ORDER).groupBy("ticker").agg(F.sum("rest").alias("quantity"), F.count_distinct("owner").alias("owners"))
+    p = U.newest(e, "ticker", 7, F.desc("day"), F.desc("id")).groupBy("ticker").agg(F.max(F.when(F.col("place") == 1, F.col("price"))).alias("last"), F.avg("price").alias("mean"))
+    x = lots.join(p, "ticker", "left")
+    return x.select("ticker", "owners", F.round("quantity", 4).alias("quantity"), F.round(F.col("quantity") * F.col("last"), 4).alias("value"), F.round("mean", 6).alias("mean_price"))
+
+
 _HT = f"{_ST}, hl AS (SELECT security_id, cohort, parent, cn, pn, unnest(['roic', 'net_cash_ratio', 'fcf_margin']) AS leg, unnest([roic, net_cash_ratio, fcf_margin]) AS x FROM ra), {blended_sql('hz', 'hl')}"
 
 
@@ -194,6 +250,19 @@ def _says(p: str) -> str:
 
 
 QUERIES = {
+    "attention_texts": (attention_texts, f"""WITH {_EV}, w AS (SELECT *, age < 10 AS recent FROM ev WHERE age < 20 AND event_type <> 'error'), g AS (SELECT user_id, count(*) FILTER (recent) AS a, count(*) FILTER (NOT recent) AS b FROM w GROUP BY 1),
+t AS (SELECT user_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY rn) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rn FROM w WHERE recent) WHERE rn <= 3 GROUP BY 1)
+SELECT user_id, a || ' events, ' || CASE WHEN a > b THEN 'more than' WHEN a < b THEN 'less than' ELSE 'as much as' END || ' before' AS text, evidence FROM g LEFT JOIN t USING (user_id)"""),
+    "narrative_claims": (narrative_claims, f"""WITH {_EV}, g AS (SELECT user_id, event_type, max(value) AS s, min(age) AS age FROM ev WHERE event_type IN ('click', 'signup', 'purchase') GROUP BY 1, 2)
+SELECT user_id, string_agg(event_type, ',' ORDER BY s DESC, event_type) AS kinds, CAST(min(age) AS BIGINT) AS newest_age FROM g GROUP BY 1"""),
+    "valuation_texts": (valuation_texts, f"""WITH {_MU}, b AS (SELECT security_id, count(signal) AS n, round(avg(signal), 6) AS b FROM sg GROUP BY 1)
+SELECT security_id, CASE WHEN b IS NULL THEN 'no multiple can be ranked' ELSE CASE WHEN b > 0.5 THEN 'cheap' WHEN b < -0.5 THEN 'dear' ELSE 'in line' END || ' by ' || n || ' multiples' END AS text FROM b"""),
+    "backfill_windows": (backfill_windows, f"""WITH {fr.BARS}, m AS (SELECT CAST(unnest(range(DATE '1995-01-01', DATE '2001-12-02', INTERVAL 1 MONTH)) AS DATE) AS m), g AS (SELECT s_suppkey AS security_id, m FROM supplier CROSS JOIN m ANTI JOIN bars ON bars.security_id = s_suppkey AND session_date = m)
+SELECT security_id, count(*) AS n, min(m) AS first_gap, max(m) AS last_gap FROM g GROUP BY 1"""),
+    "registered_variants": (registered_variants, f"SELECT variant, count(*) AS legs, round(sum(w), 6) AS total, sha256(string_agg(leg || '=' || printf('%.4f', w), ',' ORDER BY leg)) AS fingerprint FROM {_variants_sql()} GROUP BY 1"),
+    "current_projection": (current_projection, f"""WITH {_LOTS}, q AS (SELECT ticker, sum(rest) AS quantity, count(DISTINCT owner) AS owners FROM lots GROUP BY 1),
+p AS (SELECT ticker, max(price) FILTER (k = 1) AS last, avg(price) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY day DESC, id DESC) AS k FROM eff) WHERE k <= 7 GROUP BY 1)
+SELECT ticker, owners, round(quantity, 4) AS quantity, round(quantity * last, 4) AS value, round(mean, 6) AS mean_price FROM q LEFT JOIN p USING (ticker)"""),
     "prior_sessions": (prior_sessions, f"""WITH {fr.BARS}, c AS (SELECT session_date, row_number() OVER (ORDER BY session_date) AS no FROM (SELECT DISTINCT session_date FROM bars)), l AS (SELECT security_id, max(session_date) AS last_day FROM bars GROUP BY 1)
 SELECT security_id, last_day, p.session_date AS prior, (SELECT session_date FROM c WHERE no = (SELECT max(no) - 1 FROM c WHERE session_date <= DATE '1999-05-17')) AS before FROM l JOIN c a ON a.session_date = last_day LEFT JOIN c p ON p.no = a.no - 5"""),
     "stored_streaks": (stored_streaks, f"""WITH {_RET}, s AS (SELECT *, row_number() OVER (PARTITION BY security_id ORDER BY session_date DESC) AS k, coalesce(ret < 0, false) AS f FROM r)
