@@ -54,6 +54,12 @@ def test_quantity_bands(spark):
         assert value(spark, S.quantity_band(F.lit(q))) == pytest.approx(want)
 
 
+def test_formula_in_decimals(spark):
+    x = {"n": F.lit("12345678901234.56").cast("decimal(18,2)")}
+    f = compile_formula("max(n * '0.0010', 10) + n * '0.0015' - 1", x, exact=True)
+    assert spark.range(1).select(f.cast("string")).first()[0] == "30864197252.086400"
+
+
 def test_formula(spark):
     f = compile_formula("min(max(n * '0.0010', 10), 100) - -2 / (1 + 1)", {"n": F.lit(50_000.0)})
     assert value(spark, f) == pytest.approx(51.0)

@@ -33,8 +33,12 @@ def _tokens(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def compile_formula(text: str, variables: dict[str, Column]) -> Column:
-    """The formula as a column of the given variables."""
+def compile_formula(text: str, variables: dict[str, Column], exact: bool = False) -> Column:
+    """The formula as a column of the given variables.
+
+    ``exact``: numbers are decimals with just their own digits; with decimal variables
+    sums, products, minima and maxima are exact as long as 38 digits are enough.
+    """
     tokens = _tokens(text)
     at = 0
 
@@ -73,7 +77,7 @@ def compile_formula(text: str, variables: dict[str, Column]) -> Column:
             return inner
         kind, value = take()
         if kind == "number":
-            return F.lit(float(Decimal(value)))
+            return F.lit(Decimal(value) if exact else float(Decimal(value)))
         if kind == "sign":
             raise FormulaError(f"unexpected {value} in {text!r}")
         if value in ("min", "max") and peek() == "(":

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.formula import compile_formula
 from tidemark.operators import ledger as L
 from tidemark.operators import money as M
 from tidemark.operators import policy as P
@@ -102,6 +103,14 @@ def parsed_events(spark, d):
     )
 
 
+def exact_costs(spark, d):
+    """Costs of trades of each customer's balance, by the formulas in decimals, to the cent."""
+    c = fr.read(spark, d, "customer", "c_custkey", "c_acctbal")
+    notional = {"notional": F.abs("c_acctbal").cast("decimal(18,2)")}
+    fee, spread = (compile_formula(f, notional, exact=True) for f in (P.FEE, P.FX_SPREAD))
+    return c.select("c_custkey", fee.cast("double").alias("fee"), spread.cast("double").alias("spread"), M.cents(fee + spread).cast("double").alias("cost"))
+
+
 _R = "CASE currency WHEN 'CHF' THEN 1 WHEN 'USD' THEN 0.9 WHEN 'EUR' THEN 0.95 END"
 _TYPED = _LED + f""",
 ty AS (SELECT *, [{', '.join(repr(k) for k in KINDS)}][ticker % {len(KINDS)} + 1] AS kind, CASE WHEN ticker % 3 = 0 THEN 0.88 END AS fx_rate FROM eff)"""
@@ -112,6 +121,8 @@ _SUM = f"""su AS (SELECT owner, CAST(round(sum(CASE WHEN kind IN ('OPENING_CASH'
   CAST(round(sum(CASE WHEN kind = 'WITHDRAWAL' THEN abs(a) * r ELSE 0 END), 2) AS DOUBLE) AS withdrawals
   FROM (SELECT *, CAST(amount AS DECIMAL(18, 6)) AS a, CAST(fees AS DECIMAL(18, 6)) AS f, CAST(CASE WHEN currency = 'CHF' THEN 1 ELSE coalesce(fx_rate, {_R}) END AS DECIMAL(10, 4)) AS r FROM ty) GROUP BY 1)"""
 QUERIES = {
+    "exact_costs": (exact_costs, """WITH n AS (SELECT c_custkey, CAST(abs(c_acctbal) AS DECIMAL(18, 2)) AS n FROM customer), f AS (SELECT c_custkey, least(greatest(n * 0.0010, 10), 100) AS fee, n * 0.0015 AS spread FROM n)
+SELECT c_custkey, CAST(fee AS DOUBLE) AS fee, CAST(spread AS DOUBLE) AS spread, CAST(round(fee + spread, 2) AS DOUBLE) AS cost FROM f"""),
     "cash_in_francs": (cash_in_francs, f"WITH {_LED}, {_CASH} SELECT * FROM cf"),
     "ledger_summary": (ledger_summary, f"WITH {_TYPED}, {_SUM} SELECT * FROM su"),
     "currency_effects": (currency_effects, f"WITH {_LED} SELECT id, CAST(round(CAST(amount AS DECIMAL(18, 6)) * 0.91, 2) AS DOUBLE) AS chf, CAST(round(CAST(quantity * price AS DECIMAL(18, 6)) * -0.04, 2) AS DOUBLE) AS effect, round(0.0015::DOUBLE * amount, 6) AS spread FROM eff WHERE currency = 'USD'"),
