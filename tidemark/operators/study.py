@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.lineage import checkpointed
 from tidemark.functions.scalar import effective_size, two_sided_p
 from tidemark.operators import perf
 
@@ -70,18 +71,19 @@ def excludes_zero(low: Column, high: Column) -> Column:
 def against(ics: DataFrame, champion: str, z: float, horizons: tuple[int, ...]) -> DataFrame:
     """Each variant against the champion, by horizon: paired differences with an interval and a test.
 
-    ``ics`` has variant, horizon, session_date and ic. Tests are adjusted together.
+    ``ics`` has variant, horizon, session_date and ic: one row for each date. It is
+    computed once and written, as are the comparisons. Tests are adjusted together.
     """
     base = ics.filter(F.col("variant") == champion).select("horizon", "session_date", F.col("ic").alias("_base"))
     x = ics.filter(F.col("variant") != champion).join(base, ["horizon", "session_date"])
-    x = x.withColumn("diff", F.col("ic") - F.col("_base")).filter("diff IS NOT NULL")
+    x = checkpointed(x.withColumn("diff", F.col("ic") - F.col("_base")).filter("diff IS NOT NULL"))  # read once for each horizon
     parts = [perf.newey_west(x.filter(F.col("horizon") == h), "diff", ["variant", "horizon"], "session_date", h, z) for h in horizons]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     out = out.withColumnRenamed("mean", "mean_difference").withColumn("excludes_zero", F.coalesce(excludes_zero(F.col("low"), F.col("high")), F.lit(False)))
     out = out.withColumn("p", F.round(two_sided_p(F.col("mean_difference") / F.col("se")), 9))
-    out = out.withColumn("family", F.lit("variants")).withColumn("name", F.concat_ws(":", "variant", "horizon"))
+    out = checkpointed(out).withColumn("family", F.lit("variants")).withColumn("name", F.concat_ws(":", "variant", "horizon"))
     tested = perf.benjamini_hochberg(out, "p", ["family"], "name").select("name", "q", "significant")
     return out.join(tested, "name", "left").drop("name", "family")
 
