@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.lineage import checkpointed
 from tidemark.functions.scalar import effective_size, guarded_pearson, two_sided_p
 
 
@@ -94,9 +95,10 @@ def benjamini_hochberg(tests: DataFrame, p: str, keys: list[str], order: str, al
 
     A family may have as many tests as there are securities: these are cut into parts
     by p (which lies in 0 to 1), ranked within each part, and what the other parts add
-    comes from their totals, CUTS rows a family.
+    comes from their totals, CUTS rows a family. Tests are written first, so that each
+    is in the same part whenever it is read.
     """
-    x = tests.filter(F.col(p).isNotNull())
+    x = checkpointed(tests.filter(F.col(p).isNotNull()))
     at = F.percentile_approx(p, F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)]), F.lit(10_000))
     x = x.join(x.groupBy(*keys).agg(at.alias("_cuts")), keys)
     x = x.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(p)))).drop("_cuts")

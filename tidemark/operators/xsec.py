@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.lineage import checkpointed
 from tidemark.functions.scalar import confidence, half_up, scope, tier_weights, winsorise, zscore
 
 #: Weight of each leg by filer profile.
@@ -89,9 +90,11 @@ def wide_fraction(rows: DataFrame, value: str, keys: tuple[str, ...], name: str)
 
     Equal values are counted first; the distinct ones are cut into about CUTS parts at
     approximate quantiles, and ranked within each part. The parts' totals, CUTS rows a
-    group, give what lies below. So no task sorts a whole group.
+    group, give what lies below. So no task sorts a whole group. Rows are written first:
+    sums of doubles may differ in their last bits if they are computed twice, and the
+    ranks are joined back by value.
     """
-    keys = list(keys)
+    keys, rows = list(keys), checkpointed(rows)
     some = rows.filter(F.col(value).isNotNull())
     counts = some.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_k"))
     at = F.percentile_approx(value, F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)]), F.lit(10_000))
