@@ -3,17 +3,19 @@ import random
 import re
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import groups, integrity, ledger, perf, policy, repair, sessions, texts, xsec
+from tidemark.plans import registry
 from tidemark.plans import repair as plan_repair
 from tidemark.plans import texts as plan_texts
 from tidemark.sources import sinks
 from tidemark.streaming import ingest
 
-from .oracle import SF
+from .oracle import SF, compare
 
 DAY = dt.date(2024, 1, 1)
 
@@ -332,3 +334,22 @@ def test_stateful_streams(spark, tmp_path, which):
     q.stop()
     got = spark.sql(f"SELECT * FROM {which}").collect()
     assert all(r.n == 4 for r in got) if which == "windows" else len(got) == 6
+
+
+@pytest.fixture(scope="module")
+def views(tmp_path_factory):
+    """Last views near each limit, whole, below, at and above half a second; and none with a time."""
+    sf = tmp_path_factory.mktemp("views")
+    near = [dt.datetime(2024, 1, d, 12) for d in (28, 29, 30)] + [dt.datetime(2024, 1, 30)]
+    off = (-2_000_000, -1_000_000, -500_001, -500_000, -1, 0, 1, 499_999, 500_000, 500_001, 999_999, 1_500_000, 1_500_001)
+    times = [t + dt.timedelta(microseconds=u) for t in near for u in off] + [None]
+    rows = [(2 * k + v, t, k, "view" if v else "click") for k, t in enumerate(times) for v in (0, 1)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE e (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR)")
+    con.executemany("INSERT INTO e VALUES (?, ?, ?, ?)", [*rows, (999, DAY, 999, "click")])
+    con.execute(f"COPY e TO '{sf}/events.parquet' (FORMAT parquet)")
+    return str(sf)
+
+
+def test_views_of_part_seconds_have_their_state(spark, views):
+    compare(spark, *registry.ALL["overview_states"], views)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalar import ahead
 from tidemark.operators.sessions import numbered_days
 
 #: The position and cohort caps (percent) of each objective; None: the policy's own.
@@ -60,10 +61,13 @@ def contribution_delta(delta: Column, weight: Column) -> Column:
 
 
 def availability(cached: Column, now: Column, asked: Column) -> Column:
-    """Whether a cached overview may be shown for a day: missing, future, later than asked, stale or fresh."""
+    """Whether a cached overview may be shown for a day: missing, future, later than asked, stale or fresh.
+
+    Future is what rounds to a later second (see ``ahead``); ages count whole seconds of ``cached``.
+    """
     age = F.unix_timestamp(now) - F.unix_timestamp(cached)
     return (
-        F.when(cached.isNull(), "missing").when(age < 0, "future").when(F.to_date(cached) > asked, "after_date")
+        F.when(cached.isNull(), "missing").when(ahead(cached, now), "future").when(F.to_date(cached) > asked, "after_date")
         .when(age > 48 * 3600, "stale").otherwise("fresh")
     )
 
