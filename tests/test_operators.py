@@ -353,3 +353,7 @@ def views(tmp_path_factory):
 
 def test_views_of_part_seconds_have_their_state(spark, views):
     compare(spark, *registry.ALL["overview_states"], views)
+
+
+def test_views_of_part_seconds_are_fetched_again(spark, views):
+    compare(spark, *registry.ALL["overviews_to_fetch"], views)

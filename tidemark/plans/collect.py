@@ -63,7 +63,7 @@ def seeded_marks(spark, d):
 
 def overviews_to_fetch(spark, d):
     """Users whose last view is a day old or more, or ahead of the clock."""
-    e = fr.read(spark, d, "events", "ts", "user_id", "event_type").filter("event_type = 'view'")
+    e = fr.read(spark, d, "events", "ts", "user_id", "event_type").filter("event_type = 'view' AND ts IS NOT NULL")
     g = e.groupBy("user_id").agg(F.max("ts").alias("cached"))
     return g.filter(C.stale(F.col("cached"), F.lit("2024-01-30 12:00:00").cast("timestamp"))).select("user_id")
 

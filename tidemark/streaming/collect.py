@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalar import ahead, micros
+
 
 def mark_key(collector: str, security: Column) -> Column:
     return F.concat_ws(":", F.lit(collector), security)
@@ -40,9 +42,12 @@ def unprocessed(offered: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
 
 
 def stale(cached: Column, now: Column, hours: int = 24) -> Column:
-    """Whether a cached row is to be fetched again: never fetched, too old, or from the future."""
-    age = F.unix_timestamp(now) - F.unix_timestamp(cached)
-    return cached.isNull() | (age >= hours * 3600) | (age < 0)
+    """Whether a cached row is to be fetched again: never fetched, too old, or from the future.
+
+    Ages count to the microsecond; ahead is what rounds to a later second.
+    """
+    old = micros(cached) <= micros(now) - hours * 3_600_000_000
+    return cached.isNull() | old | ahead(cached, now)
 
 
 def token_bucket(requests: DataFrame, key: str, time: str, order: list[str], capacity: float, per_second: float) -> DataFrame:
