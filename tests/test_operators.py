@@ -15,7 +15,7 @@ from tidemark.plans import texts as plan_texts
 from tidemark.sources import sinks
 from tidemark.streaming import ingest
 
-from .oracle import SF, compare
+from .oracle import SF, compare, connect
 
 DAY = dt.date(2024, 1, 1)
 
@@ -357,3 +357,24 @@ def test_views_of_part_seconds_have_their_state(spark, views):
 
 def test_views_of_part_seconds_are_fetched_again(spark, views):
     compare(spark, *registry.ALL["overviews_to_fetch"], views)
+
+
+def test_equal_suppliers_tie_however_their_files_are_split(spark, tmp_path):
+    con = connect(SF)
+    con.execute("SET threads = 1")
+    for name, more in (("supplier", ""), ("lineitem", ", ROW_GROUP_SIZE 2048")):
+        key = f"{name[0]}_suppkey"
+        rows = f"(SELECT *, row_number() OVER () AS n FROM {name}) t ORDER BY i, n"
+        con.execute(f"COPY (SELECT t.* EXCLUDE (n) REPLACE ({key} + 1000 * i AS {key}) FROM range(9) r(i), {rows}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet{more})")
+    for name in ("nation", "region"):
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        got = registry.ALL["leg_percentiles"][0](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    have = defaultdict(set)
+    for x in got:
+        have[x.security_id % 1000, x.leg].add((x.fraction, x.percentile))
+    assert len(got) == 9 * len(have) and all(len(v) == 1 for v in have.values())

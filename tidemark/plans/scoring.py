@@ -101,7 +101,7 @@ def cohort_scopes(spark, d):
 
 def leg_percentiles(spark, d):
     """Each leg's percentile among all, midpoint of ties."""
-    x = fr.legs_long(spark, d)
+    x = fr.legs_long(spark, d, in_order=True)
     f = xsec.percentile_fraction("x", ["leg"])
     return x.select("security_id", "leg", F.round(f, 8).alias("fraction"), S.half_up(F.round(100 * f, 9)).alias("percentile"))
 
