@@ -265,6 +265,44 @@ def test_seeds_of_very_many_documents(spark, monkeypatch):
     assert set(have) == set(range(1, 60)) and all(v >= {*range(30, 100), *range(110, 180)} for v in have.values())
 
 
+def test_passages_of_changed_words_whose_runs_came_before(spark):
+    r = random.Random(25)
+    rows, links = [], []
+    for k in range(12):
+        one = prose(r, 70).split()
+        two = list(one)
+        for i in range(9, 70, 12):  # runs of 11 words between changed ones
+            two[i] = f"other{k}x{i}"
+        # each run occurs before, in documents of their own; in the last families too often for all pairs
+        times = 1 if k < 6 else passages.NEAR + 4
+        for i in range(10, 70, 12):
+            rows += [(1000 * k + 20 * i + n, " ".join([prose(r, 30), *one[i : i + 11], prose(r, 30)])) for n in range(times)]
+        a, b = 100_000 + 2 * k, 100_001 + 2 * k
+        rows += [(a, " ".join([prose(r, 20), *one, prose(r, 20)])), (b, " ".join([prose(r, 20), *two, prose(r, 20)]))]
+        links.append((b, a))
+    got = [(x.doc_id, x.other_id) for x in passages.shared_passages(documents(spark, rows)).collect() if x.passage_end - x.passage_start >= 60]
+    assert set(got) == set(links)
+
+
+def test_matched_occurrences_of_seeds():
+    r = random.Random(26)
+    seeds = np.array([r.choice([1, 2, 3, 3, 3, 3]) for _ in range(120)], dtype=np.uint64)
+    seeds[np.flatnonzero(seeds == 1)[passages.NEAR :]] = 2
+    around = np.array([(r.randrange(9) << 32) + r.randrange(9) for _ in seeds], dtype=np.uint64)
+    ids, at = np.array([r.randrange(50) for _ in seeds]), np.array(r.sample(range(1000), len(seeds)))
+    got = set(zip(*(c.tolist() for c in passages._partners(seeds, ids, at, around)), strict=True))
+    want = set()
+    keys = [lambda i: (seeds[i],), lambda i: (seeds[i], "l", around[i] >> 32), lambda i: (seeds[i], "r", around[i] % 2**32), lambda i: (seeds[i], around[i])]
+    for n, key in enumerate(keys):
+        groups = defaultdict(list)
+        for i in sorted(range(len(seeds)), key=lambda i: (ids[i], at[i])):
+            groups[key(i)].append(i)
+        for (seed, *_), g in groups.items():
+            if not n or (seeds == seed).sum() > passages.NEAR:
+                want |= {(i, g[0]) for i in g[1:]} | ({(i, j) for k, i in enumerate(g) for j in g[:k]} if len(g) <= passages.NEAR else set())
+    assert got == want
+
+
 # extraction
 
 
